@@ -15,6 +15,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.repetition import repetition
+
+    return repetition(documents(spark, sf_dir))
+
+
+def op7_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.sequence_files import sequence_digest
+
+    return sequence_digest(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.token_counts import token_counts
 
@@ -24,6 +36,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_repetition,
+        op7_sequence_files,
         op9_token_counts,
     )
 }
