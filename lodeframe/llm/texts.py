@@ -14,9 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one block holds at most, unless a single text is longer.
-BLOCK_BYTES = 32 << 20
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -32,7 +29,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds ``limit`` bytes of text at most, or a single row."""
     for batch in batches:
         sizes = np.cumsum(np.asarray(batch.column(column).cast(pa.binary()).fill_null(b"").to_pandas().map(len), dtype=np.int64))

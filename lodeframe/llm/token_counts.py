@@ -2,7 +2,7 @@
 
 1. Blocks of documents number their distinct pre-tokens and keep each document's frequencies
    (``blocks``).
-2. Over the whole table each distinct pre-token is encoded once and only the length is kept.
+2. Requests for the same pre-token meet; it is encoded once and only the length is kept.
 3. The lengths return to the blocks that asked; a document's count is the sum of frequency
    times length.  No ids of a document are ever made.
 
@@ -12,14 +12,12 @@ repeated rows; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeframe.llm import vocab
-from lodeframe.llm.blocks import answer, lists, requests, write_blocks
+from lodeframe.llm.blocks import answer, by_token, lists, write_blocks
 from lodeframe.llm.texts import id_and_text, sums_by
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -27,21 +25,14 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``)."""
-    blocks = write_blocks(id_and_text(docs, id_col, text_col), vocab.pre_tokens(tokenizer))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column("token").to_pylist()
-            counts = [len(ids) for k in range(0, len(tokens), 5000) for ids in vocab.encode(tokenizer, tokens[k : k + 5000])]
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(counts, pa.int64())], ["token", "pieces"])
+    requests, folder = write_blocks(id_and_text(docs, id_col, text_col), vocab.pre_tokens(tokenizer))
 
-    asked = requests(blocks)
-    counted = asked.select("token").distinct().mapInArrow(pieces, "token binary, pieces long")
-    answers = asked.join(counted, "token").select("block", "local_id", "pieces")
+    def pieces(tokens: list[bytes], _: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {"pieces": np.array([len(ids) for k in range(0, len(tokens), 5000) for ids in vocab.encode(tokenizer, tokens[k : k + 5000])], np.int32)}
 
     def finish(batch: pa.RecordBatch, values: dict[str, np.ndarray]) -> pa.Table:
         ids, freqs, offsets = lists(batch)
-        n = sums_by(values["pieces"][ids] * freqs, offsets) if len(ids) else np.zeros(batch.num_rows, np.int64)
+        n = sums_by(values["pieces"][ids] * freqs.astype(np.int64), offsets) if len(ids) else np.zeros(batch.num_rows, np.int64)
         return pa.table({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
-    return answer(blocks, answers, finish, SCHEMA)
+    return answer(by_token(requests).select("ref", "token"), folder, pieces, finish, SCHEMA)
