@@ -33,12 +33,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.simhash import simhash_components
+
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_repetition,
         op7_sequence_files,
         op9_token_counts,
+        op10_simhash,
     )
 }
 
