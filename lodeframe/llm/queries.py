@@ -27,6 +27,12 @@ def op7_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_digest(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.tiling import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.token_counts import token_counts
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op4_repetition,
         op7_sequence_files,
+        op8_decontaminate,
         op9_token_counts,
         op10_simhash,
     )
