@@ -43,12 +43,13 @@ def scanned(df: DataFrame) -> DataFrame:
     return df if all(n in ("Project", "Filter", "Relation") or n.startswith("Relation[") for n in nodes if n) else stored(df, "rows")
 
 
-def write_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], weight: str | None = None) -> tuple[DataFrame, str]:
+def write_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], weight: str | None = None, measure: Callable[[list[list[bytes]]], dict[str, np.ndarray]] | None = None) -> tuple[DataFrame, str]:
     """Cut ``docs`` (doc_id, text, and longs that are carried along) into blocks.
 
     Returns the requests, each token weighted by its occurrences in documents where the column
     ``weight`` is 1 (all documents if None), and the folder that holds the blocks once the
-    requests were computed.  Every block also asks for the empty token.
+    requests were computed.  Every block also asks for the empty token, as its number 0.
+    ``measure`` makes further columns of the block from its documents' tokens.
     """
     folder = shared_path(docs.sparkSession, "blocks")
     carried = [c for c in docs.columns if c != "text"]
@@ -58,7 +59,7 @@ def write_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], weight:
         made, own = context.partitionId() << 12, f".attempt-{context.taskAttemptId()}"
         block = _Block(carried, weight)
         for part in sliced(batches, limit=2 << 20):
-            block.add(part, split)
+            block.add(part, split, measure)
             if block.n_bytes >= BLOCK_BYTES:
                 yield from block.closed(folder, made, own)
                 made, block = made + 1, _Block(carried, weight)
@@ -78,14 +79,14 @@ class _Block:
         self.sizes: list[int] = []
         self.n_bytes = 0
 
-    def add(self, batch: pa.RecordBatch, split: Callable[[bytes], list[bytes]]) -> None:
+    def add(self, batch: pa.RecordBatch, split: Callable, measure: Callable | None) -> None:
         texts = as_bytes(batch.column("text"))
         number = self.numbers.__getitem__
-        for text in texts:
-            tokens = split(text)
-            self.ids.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
+        cut = [split(text) for text in texts]
+        self.ids.extend(np.fromiter(map(number, tokens), np.int32, len(tokens)) for tokens in cut)
         self.sizes.extend(map(len, texts))
-        self.parts.append(pa.RecordBatch.from_pydict({c: pa.concat_arrays([batch.column(c)]) for c in self.carried}))
+        own = {c: pa.array(x) for c, x in measure(cut).items()} if measure else {}
+        self.parts.append(pa.RecordBatch.from_pydict({c: pa.concat_arrays([batch.column(c)]) for c in self.carried} | own))
         self.n_bytes += sum(map(len, texts))
 
     def closed(self, folder: str, block: int, own: str) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ class _Block:
         doc, local = np.divmod(keys[first], v)
         offsets = pa.array(np.searchsorted(doc, np.arange(len(n_all) + 1)).astype(np.int32))
         table = pa.Table.from_batches(self.parts)
-        held = {c: table.column(c).combine_chunks() for c in self.carried}
+        held = {c: table.column(c).combine_chunks() for c in table.column_names}
         held |= {"n_bytes": pa.array(self.sizes, pa.int64()), "n_all": pa.array(n_all)}
         held |= {"ids": pa.ListArray.from_arrays(offsets, pa.array(local.astype(np.int32))), "freqs": pa.ListArray.from_arrays(offsets, pa.array(freqs.astype(np.int32)))}
         whole = pa.RecordBatch.from_pydict(held)

@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.suffix_tree_lm import suffix_tree_scores
+
+    return suffix_tree_scores(documents(spark, sf_dir))
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.repetition import repetition
 
@@ -48,6 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_suffix_tree_lm,
         op4_repetition,
         op7_sequence_files,
         op8_decontaminate,
