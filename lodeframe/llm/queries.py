@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.resampling import importance_resample
+
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.suffix_tree_lm import suffix_tree_scores
 
@@ -54,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_importance_resampling,
         op3_suffix_tree_lm,
         op4_repetition,
         op7_sequence_files,
