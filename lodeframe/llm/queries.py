@@ -33,6 +33,12 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
 def op7_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.sequence_files import sequence_digest
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_importance_resampling,
         op3_suffix_tree_lm,
         op4_repetition,
+        op5_packing,
         op7_sequence_files,
         op8_decontaminate,
         op9_token_counts,
