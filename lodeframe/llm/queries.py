@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeframe.llm import licenses
 from lodeframe.llm.texts import documents
 
 
@@ -21,6 +22,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.suffix_tree_lm import suffix_tree_scores
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_importance_resampling,
+        op2_license_scan,
         op3_suffix_tree_lm,
         op4_repetition,
         op5_packing,
@@ -77,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql()}
