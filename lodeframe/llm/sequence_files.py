@@ -19,9 +19,8 @@ gives no shard and no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,22 +42,15 @@ def encoded(texts: list[bytes], tokenizer: str, end_id: int) -> tuple[np.ndarray
     """The ids of the texts in a row, an end id after each, and each text's number of ids."""
     cut = vocab.pre_tokens(tokenizer)
     pieces = [cut(t) for t in texts]
-    numbers: dict[bytes, int] = defaultdict(count(1).__next__)  # 0: the end of a text
-    n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    which = np.zeros(int(n_pieces.sum()) + len(pieces), np.int64)
-    ends = np.cumsum(n_pieces + 1) - 1
-    inner = np.ones(len(which), bool)
-    inner[ends] = False
-    which[inner] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
-    known = vocab.remembered(tokenizer, set(numbers))
-    tables = [np.array([end_id], np.uint32), *(known[t] for t in numbers)]
-    lengths = np.fromiter(map(len, tables), np.int64, len(tables))
-    starts = np.cumsum(lengths) - lengths
-    flat = np.concatenate(tables)
-    took = lengths[which]
+    known = vocab.remembered(tokenizer)
+    known.learn(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    which = np.fromiter(map(known.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+    took = known.counts[which]
     begins = np.cumsum(took) - took
-    ids = flat[np.repeat(starts[which] - begins, took) + np.arange(int(took.sum()))]
-    return ids, sums_by(took, np.concatenate([[0], ends + 1]))
+    ids = known.flat[np.repeat(known.starts[which] - begins, took) + np.arange(int(took.sum()))]
+    lengths = sums_by(took, np.concatenate([[0], np.cumsum(sizes)]))
+    return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     requests, folder = write_blocks(id_and_text(docs, id_col, text_col), vocab.pre_tokens(tokenizer))
 
     def pieces(tokens: list[bytes], _: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return {"pieces": np.array([len(ids) for k in range(0, len(tokens), 5000) for ids in vocab.encode(tokenizer, tokens[k : k + 5000])], np.int32)}
+        return {"pieces": vocab.encode(tokenizer, tokens)[1].astype(np.int32)}
 
     def finish(batch: pa.RecordBatch, values: dict[str, np.ndarray]) -> pa.Table:
         ids, freqs, offsets = lists(batch)

@@ -14,11 +14,13 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
+from itertools import chain
 
 import numpy as np
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond it forgets all of them and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 
 @functools.cache
@@ -33,20 +35,27 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Fixed value: the pattern of word tokenizers whose white space only separates.  A run of letters
+#: and the run of ASCII punctuation behind it are always matched apart.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PUNCTUATION = string.punctuation.encode()
+#: Lead bytes of U+0300-U+036F; an ASCII letter composes with no other mark.
+MARKS = (b"\xcc", b"\xcd")
+
+
 @functools.cache
 def drops_white_space(path: str) -> bool:
-    """Whether white space only separates pre-tokens, going by the tokenizer's own file."""
+    """Whether white space only separates pre-tokens and case is ignored, going by the
+    tokenizer's own file."""
     if not path.endswith(".json"):
         return False
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    steps = (spec.get("normalizer") or {}).get("normalizers", [])
-    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    collapsed = any(s.get("type") == "Replace" and s["pattern"].get("Regex") == r"\s+" and s["content"] == " " for s in steps)
-    removed = bool(splits) and splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
-    plain = all(s.get("type") in ("NFC", "Replace", "Lowercase") for s in steps) and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in spec.get("added_tokens", []))
-    pattern = splits[0]["pattern"].get("Regex", " ") if removed else " "
-    return bool(collapsed and removed and plain and " " not in pattern and r"\s+" not in pattern and r"\s*" not in pattern)
+    steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    wanted = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split["pattern"].get("Regex") == WORD_PATTERN
+    strings = [a["content"] for a in spec.get("added_tokens", []) if not a["lstrip"] and not a["rstrip"]]
+    return bool(steps == ["NFC", "Replace", "Lowercase"] and wanted and len(strings) == len(spec.get("added_tokens", [])) and all(x.startswith("<|") and " " not in x for x in strings))
 
 
 def pre_tokens(path: str):
@@ -56,30 +65,131 @@ def pre_tokens(path: str):
     return lambda text: [text] if text else []
 
 
-def encode(path: str, tokens: list[bytes]) -> list[np.ndarray]:
-    """Ids of each pre-token, without added special tokens, truncation or padding."""
+def _encodings(path: str, tokens: list[bytes]) -> list[list[int]]:
     texts = [t.decode() for t in tokens]
     if path.endswith(".model"):
-        return [np.asarray(ids, np.uint32) for ids in _library(path).encode(texts, num_threads=1)]
-    tokenizer = _library(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-_known: dict[str, dict[bytes, np.ndarray]] = {}
-
-
-def remembered(path: str, wanted: set[bytes]) -> dict[bytes, np.ndarray]:
-    """A table with the ids of all ``wanted`` pre-tokens (and others)."""
-    known = _known.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = [t for t in wanted if t not in known]
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
-        known.update(zip(part, encode(path, part), strict=True))
-    return known
+        return _library(path).encode(texts, num_threads=1)
+    return [e.ids for e in _library(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@functools.cache
+def _ends(path: str) -> np.ndarray | None:
+    """Whether each id ends a pre-token of the library, where its vocabulary tells."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix:
+        return None
+    ends = np.zeros(vocabulary_size(path), bool)
+    ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+    return ends
+
+
+#: Plain words that go to the library as one text.
+JOINED = 2000
+
+
+def encode(path: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pre-tokens in a row and each one's number of ids, without added special
+    tokens, truncation or padding.
+
+    Words of letters only are one pre-token of the library each.  Where the last piece of a
+    pre-token can be told by its id, many such words are encoded as one text, which costs the
+    library less, and are told apart by those ids.
+    """
+    if not path.endswith(".model"):
+        _library(path).no_truncation()
+        _library(path).no_padding()
+    counts = np.zeros(len(tokens), np.int64)
+    ends = _ends(path) if drops_white_space(path) else None
+    plain = [k for k, t in enumerate(tokens) if t.isalpha() or t.decode().isalpha()] if ends is not None else []
+    parts: list[np.ndarray] = []
+    order: list[np.ndarray] = []
+    for a in range(0, len(plain), JOINED):
+        own = np.array(plain[a : a + JOINED])
+        ids = np.array(_encodings(path, [b" ".join([tokens[k] for k in own])])[0], np.uint32)
+        last = np.flatnonzero(ends[ids])
+        if len(last) != len(own):  # letters that the library sees otherwise
+            plain = plain[:a]
+            break
+        counts[own] = np.diff(last, prepend=-1)
+        parts.append(ids)
+        order.append(own)
+    done = set(plain)
+    rest = [k for k in range(len(tokens)) if k not in done]
+    for a in range(0, len(rest), 5000):
+        own = rest[a : a + 5000]
+        ids = _encodings(path, [tokens[k] for k in own])
+        counts[own] = [len(x) for x in ids]
+        parts.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        order.append(np.array(own))
+    if not parts:
+        return np.zeros(0, np.uint32), counts
+    sequence = np.concatenate(order)
+    flat = np.concatenate(parts)
+    starts = np.zeros(len(tokens), np.int64)
+    starts[sequence] = np.cumsum(counts[sequence]) - counts[sequence]
+    before = np.cumsum(counts) - counts
+    return flat[np.repeat(starts - before, counts) + np.arange(int(counts.sum()))], counts
+
+
+class Remembered:
+    """Ids of the pre-tokens that a worker met, found by number."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Make sure that all pre-tokens of ``texts`` are known."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        new = set(chain.from_iterable(texts)).difference(self.numbers)
+        if not new:
+            return
+        pairs = {}
+        if drops_white_space(self.path):
+            words = list(new)
+            pairs = {w: (stem, tail) for w, stem, tail in zip(words, *halves(words), strict=True) if stem != w}
+        parts = (new.difference(pairs) | set(chain.from_iterable(pairs.values()))).difference(self.numbers)
+        if parts:
+            self._add(list(parts), *encode(self.path, list(parts)))
+        words = [w for w in pairs if w not in self.numbers]
+        if words:
+            which = np.fromiter((self.numbers[half] for w in words for half in pairs[w]), np.int64, 2 * len(words))
+            took = self.counts[which]
+            ids = self.flat[np.repeat(self.starts[which] - (np.cumsum(took) - took), took) + np.arange(int(took.sum()))]
+            self._add(words, ids, took[0::2] + took[1::2])
+
+    def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, ids])
+
+
+def halves(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Each word's lower-case stem and the ASCII punctuation behind its last letter, which are
+    encoded apart; the word itself and nothing where that is not certain."""
+    stems = [w.rstrip(PUNCTUATION) for w in words]
+    stems = [s if s is w or s[-1:].isalpha() else w for s, w in zip(stems, words, strict=True)]
+    tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+    lowered = b" ".join(stems).lower().split(b" ")
+    whole = b" ".join(words)
+    if b"<|" in whole or MARKS[0] in whole or MARKS[1] in whole:
+        for k, w in enumerate(words):
+            if b"<|" in w or MARKS[0] in w or MARKS[1] in w:
+                lowered[k], tails[k] = w, b""
+    return lowered, tails
+
+
+@functools.cache
+def remembered(path: str) -> Remembered:
+    return Remembered(path)
 
 
 def vocabulary_size(path: str) -> int:
