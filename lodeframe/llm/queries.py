@@ -44,6 +44,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.pii import pii_spans
+
+    return pii_spans(documents(spark, sf_dir))
+
+
 def op7_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.sequence_files import sequence_digest
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_suffix_tree_lm,
         op4_repetition,
         op5_packing,
+        op6_pii,
         op7_sequence_files,
         op8_decontaminate,
         op9_token_counts,
