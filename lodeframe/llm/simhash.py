@@ -1,13 +1,18 @@
 """SimHash near-duplicates with BK-trees.
 
-Fingerprints: words with A-Z lower-cased, all 3-word shingles with repeats, XXH64 with seed 42;
-a bit is set if it is set in more than half of the hashes (no words: zero).
-
-Links: documents with the same fingerprint are one node.  Two fingerprints that differ in at most
+Fingerprints: a bit is set if it is set in more than half of the hashes of the text's features (no
+feature: zero).  ``simhash_components`` hashes all 3-word shingles, repeats included, with XXH64
+and seed 42.  ``drop_near_duplicates`` is to find texts that share four fifths of their 5-word
+shingles, for which a single fingerprint of shingles at a small radius is too coarse (it found one
+in six such pairs); it takes several fingerprints of the distinct words instead and links texts
+that are near in any of them.
+
+Links: documents with the same fingerprints are one node.  Two fingerprints that differ in at most
 ``radius`` bits agree on at least ``bands - radius`` of ``bands`` bit ranges, so every link lies
-inside a shard of fingerprints that agree on some such choice of ranges.  With 6 bands and
-radius 2 a shard's members agree on 42 bits or more, so it can't have more than 2**22 members,
-whatever the data (about 64 MB with its tree); shards of nearly all data are far smaller.
+inside a shard of fingerprints that agree on some such choice of ranges.  A shard of more than
+``limit`` members is dealt out again by the same argument on the bits that are still free, until
+shards are small or all bits are fixed, so no task searches more than ``limit`` members at a time
+whatever the data.
 
 Each shard is searched with a BK-tree: children are keyed by their integer Hamming distance to
 their parent, and a search follows only the edges whose key is within the radius of the distance
@@ -27,13 +32,14 @@ are ignored by ``simhash_components`` and returned untouched by ``drop_near_dupl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.texts import as_bytes, id_and_text, sliced
@@ -44,29 +50,45 @@ SEED = 42
 LANES = 1 << 17
 
 
-def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """The 64-bit fingerprint of each text."""
-    digest, sizes, hashes = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = text.lower().split()
-        if len(words) > width:
-            own = [digest(x, SEED) for x in map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))]
-        else:
-            own = [digest(b" ".join(words), SEED)] if words else []
-        sizes.append(len(own))
-        hashes.append(np.array(own, "<u8"))
-    out = np.zeros(len(texts), np.uint64)
+def shingles(text: bytes, width: int) -> list[bytes]:
+    """All ``width``-word shingles, repeats included (fewer words: all of them; none: none)."""
+    words = text.lower().split()
+    if len(words) > width:
+        return list(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
+    return [b" ".join(words)] if words else []
+
+
+def distinct_words(text: bytes) -> list[bytes]:
+    return list(set(text.lower().split()))
+
+
+def fingerprints(texts: list[bytes], features: Callable[[bytes], list[bytes]], tables: int = 1) -> np.ndarray:
+    """The 64-bit fingerprints of each text, one column per table.  The first table takes the
+    features' XXH64, the others mix it anew."""
+    digest = xxhash.xxh64_intdigest
+    hashes = [np.array([digest(x, SEED) for x in features(text)], "<u8") for text in texts]
+    out = np.zeros((len(texts), tables), np.uint64)
     start = 0
     while start < len(texts):  # as many texts at a time as fit the lanes
         end, n = start, 0
-        while end < len(texts) and (end == start or n + sizes[end] <= LANES):
-            n += sizes[end]
+        while end < len(texts) and (end == start or n + len(hashes[end]) <= LANES):
+            n += len(hashes[end])
             end += 1
-        out[start:end] = _majority(hashes[start:end])
+        for k in range(tables):
+            out[start:end, k] = _majority([_mixed(h, k) for h in hashes[start:end]])
         start = end
     return out
 
 
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    if not table:
+        return hashes
+    z = hashes + np.uint64(table * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     full = np.flatnonzero(sizes)
@@ -122,8 +144,8 @@ class BKTree:
 
 
 def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links between distinct ``values`` that join them as all links within the radius do."""
-    tree, parent = BKTree(), list(range(len(values)))
+    """Links (i, j) between ``values`` that join them as all links within the radius do."""
+    tree, parent, sets = BKTree(), list(range(len(values))), 0
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -132,51 +154,87 @@ def forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
         return i
 
     for i, value in enumerate(values):
+        sets += 1
         for j in tree.within(value, radius):
             a, b = root(i), root(j)
             if a != b:
                 parent[a] = b
-                yield value, values[j]
+                sets -= 1
+                yield i, j
+                if sets == 1:
+                    break
         tree.add(value)
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _ranges(bits: list[int], parts: int) -> list[int]:
+    """The given bits cut into ``parts`` masks."""
+    return [sum(1 << b for b in bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]) for k in range(parts)]
+
+
 def band_masks(bands: int, radius: int) -> list[int]:
     """Masks of all choices of ``bands - radius`` of ``bands`` ranges of the 64 bits."""
-    edges = [64 * k // bands for k in range(bands + 1)]
-    ranges = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(x) for x in combinations(ranges, bands - radius)]
+    return [sum(x) for x in combinations(_ranges(list(range(64)), bands), bands - radius)]
+
+
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """``mask`` with one of radius + 1 ranges of its free bits: two fingerprints that differ in
+    ``radius`` free bits at most agree on one of them."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return sorted({mask | part for part in _ranges(free, radius + 1) if part} or {mask})
+
+
+def links(nodes: DataFrame, radius: int = 2, bands: int = 6, limit: int = 2048) -> DataFrame:
+    """Links (a, b) that join the nodes (node, fps: their fingerprints as signed longs) as all
+    links within the radius in any of the fingerprints do."""
+    each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
+    # nodes that share a fingerprint are linked to the first; only that one is searched
+    first = each.groupBy("t", "fp").agg(F.min("node").alias("first"))
+    rows = first.select("t", "fp", F.col("first").alias("node"))
+    same = each.join(first, ["t", "fp"]).where("node > first").selectExpr("node AS a", "first AS b")
+    masks, found = band_masks(bands, radius), [same]
+    deal = F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks))))
+    rows = rows.select("t", "fp", "node", deal.alias("s")).select("t", "s.choice", "s.bits", "fp", "node")
+    keys = ["t", "choice", "bits"]
+    while True:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+        many = stored(rows.join(sizes, keys), "shards")
+        found.append(many.where(F.col("n") <= limit).repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_searcher(radius), "a long, b long"))
+        hot = many.where(F.col("n") > limit)
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
+        finer = [(k, m) for k, old in enumerate(masks) for m in finer_masks(old, radius)]
+        masks = [m for _, m in finer]
+        options = F.array(*(F.array(*(F.struct(F.lit(c).alias("choice"), F.lit(_signed(m)).alias("mask")) for c, (k, m) in enumerate(finer) if k == old)) for old in range(finer[-1][0] + 1)))
+        rows = hot.select("t", "fp", "node", F.explode(F.get(options, F.col("choice"))).alias("s")).select("t", "s.choice", F.col("fp").bitwiseAND(F.col("s.mask")).alias("bits"), "fp", "node")
 
 
-def links(nodes: DataFrame, radius: int = 2, bands: int = 6) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``nodes.fp`` (as signed longs)."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in band_masks(bands, radius)]
-    masks = F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)))
-    keyed = nodes.select("fp", F.explode(masks).alias("shard")).select("fp", "shard.choice", "shard.bits")
-    # most shards have one member; only the others are dealt out whole
-    w = Window.partitionBy("choice", "bits")
-    many = keyed.withColumn("size", F.count("*").over(w)).where("size > 1").select("choice", "bits", "fp")
+def _searcher(radius: int):
+    """Searches shards whose rows come one after another."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, out = None, [], []
+        key, fps, nodes, out = None, [], [], []
         for batch in batches:
-            for choice, bits, fp in zip(*(batch.column(c).to_pylist() for c in ("choice", "bits", "fp")), strict=True):
-                if (choice, bits) != key:
-                    out.extend(forest(members, radius))
-                    key, members = (choice, bits), []
-                members.append(fp & 0xFFFFFFFFFFFFFFFF)
+            for t, choice, bits, fp, node in zip(*(batch.column(c).to_pylist() for c in ("t", "choice", "bits", "fp", "node")), strict=True):
+                if (t, choice, bits) != key:
+                    out.extend((nodes[i], nodes[j]) for i, j in forest(fps, radius))
+                    key, fps, nodes = (t, choice, bits), [], []
+                fps.append(fp & 0xFFFFFFFFFFFFFFFF)
+                nodes.append(node)
             if out:
                 yield to_batch(out)
                 out = []
-        out.extend(forest(members, radius))
+        out.extend((nodes[i], nodes[j]) for i, j in forest(fps, radius))
         if out:
             yield to_batch(out)
 
     def to_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        both = np.array(pairs, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
 
-    # the window leaves a shard's rows together, one after another
-    return many.mapInArrow(search, "a long, b long").distinct()
+    return search
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,52 +271,54 @@ def _small_star(stars: DataFrame) -> DataFrame:
     return _joined(down).selectExpr("v AS a", "m AS b").unionByName(down.groupBy("u").agg(F.min("v").alias("b")).selectExpr("u AS a", "b")).where("a != b").distinct()
 
 
-def fingerprinted(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (the fingerprint as a signed long)."""
+def fingerprinted(docs: DataFrame, features: Callable[[bytes], list[bytes]], tables: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: row (a number of its own), doc_id, fps (as signed longs)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, limit=4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(as_bytes(batch.column("text")), width).view(np.int64))], ["doc_id", "fp"])
+        for batch in sliced(batches):
+            own = fingerprints(as_bytes(batch.column("text")), features, tables).view(np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, tables, dtype=np.int32)), pa.array(own.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fps"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fp long")
+    prints = id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fps array<long>")
+    return stored(prints.withColumn("row", F.monotonically_increasing_id()), "prints")
 
 
 def _classes(prints: DataFrame, radius: int, bands: int) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+    """(fps, root, component_id) of all distinct fingerprints."""
+    nodes = stored(prints.groupBy("fps").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes, radius, bands))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(nodes.join(roots, "node", "left").select("fps", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    return rooted.join(least, "root").select("fps", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, bands: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    prints = stored(fingerprinted(docs, width, id_col, text_col), "prints")
+    prints = fingerprinted(docs, partial(shingles, width=width), 1, id_col, text_col)
     classes = _classes(prints, radius, bands)
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, bands: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, tables: int = 4, radius: int = 3, bands: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the least id, with all its columns.
 
     Of rows that repeat that id one stays; where no member has an id, one row stays.
     """
-    prints = stored(fingerprinted(docs, width, id_col, text_col), "prints")
+    prints = fingerprinted(docs, distinct_words, tables, id_col, text_col)
     classes = stored(_classes(prints, radius, bands), "classes")
     kept = classes.where("component_id IS NOT NULL").select(F.col("component_id").alias("kept_id")).distinct()
     named = docs.join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    unnamed = classes.where("component_id IS NULL").select("fp", "root")
+    unnamed = classes.where("component_id IS NULL").select(F.col("fps").alias("__fps"), F.col("root").alias("__root"))
     if unnamed.isEmpty():
         return named
-    without = docs.where(F.col(id_col).isNull())
-    columns = without.columns
-    both = without.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    without = docs.where(F.col(id_col).isNull()).withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "__text", 4 << 20):
-            yield batch.append_column("__fp", pa.array(fingerprints(as_bytes(batch.column("__text")), width).view(np.int64)))
+        for batch in sliced(batches, "__text"):
+            own = fingerprints(as_bytes(batch.column("__text")), distinct_words, tables).view(np.int64)
+            yield batch.append_column("__fps", pa.array(own.tolist(), pa.list_(pa.int64())))
 
-    hashed = both.mapInArrow(add, both.schema.add("__fp", "long"))
-    one = hashed.join(unnamed.selectExpr("fp AS __fp", "root AS __root"), "__fp").dropDuplicates(["__root"])
-    return named.unionByName(one.select(*columns))
+    schema = without.select("*", F.array(F.lit(0).cast("long")).alias("__fps")).schema
+    one = without.mapInArrow(add, schema).join(unnamed, "__fps").dropDuplicates(["__root"])
+    return named.unionByName(one.select(*docs.columns))
