@@ -1,0 +1,44 @@
+"""A generated table through Spark's Python data source interface."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class Span(InputPartition):
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+
+
+class SeriesReader(DataSourceReader):
+    def __init__(self, rows: int, parts: int):
+        self.rows, self.parts = rows, parts
+
+    def partitions(self) -> list[Span]:
+        edges = [self.rows * k // self.parts for k in range(self.parts + 1)]
+        return [Span(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+    def read(self, partition: Span) -> Iterator[tuple[int, int]]:
+        for n in range(partition.start, partition.end):
+            yield n, n * n
+
+
+class SeriesSource(DataSource):
+    """``rows`` numbers and their squares in ``parts`` partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "series"
+
+    def schema(self) -> str:
+        return "n long, square long"
+
+    def reader(self, schema) -> SeriesReader:
+        return SeriesReader(int(self.options.get("rows", "10")), int(self.options.get("parts", "1")))
+
+
+def register_series(spark: SparkSession) -> None:
+    spark.dataSource.register(SeriesSource)
