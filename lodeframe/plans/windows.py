@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from lodeframe.plans.registry import query, table
 
-BY_PRICE = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+
+def _by_price():
+    return Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
 
 
 @query("""SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, ntile(3) OVER w AS tile, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 def window_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(BY_PRICE).cast("long").alias("rn"), F.rank().over(v).cast("long").alias("rk"), F.dense_rank().over(v).cast("long").alias("dr"), F.ntile(3).over(BY_PRICE).cast("long").alias("tile"), F.percent_rank().over(BY_PRICE).alias("pr"), F.cume_dist().over(BY_PRICE).alias("cd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(_by_price()).cast("long").alias("rn"), F.rank().over(v).cast("long").alias("rk"), F.dense_rank().over(v).cast("long").alias("dr"), F.ntile(3).over(_by_price()).cast("long").alias("tile"), F.percent_rank().over(_by_price()).alias("pr"), F.cume_dist().over(_by_price()).alias("cd"))
 
 
 @query("""SELECT event_id, lag(value, 1, -1) OVER w AS before, lead(value, 2) OVER w AS ahead FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
@@ -26,7 +28,7 @@ def window_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, first_value(o_totalprice) OVER w AS first, last_value(o_totalprice) OVER w AS last, nth_value(o_totalprice, 2) OVER w AS second
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def window_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = BY_PRICE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = _by_price().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = "o_totalprice"
     return table(spark, sf_dir, "orders").select("o_orderkey", F.first(p).over(w).alias("first"), F.last(p).over(w).alias("last"), F.nth_value(p, 2).over(w).alias("second"))
 
