@@ -10,9 +10,9 @@ that are near in any of them.
 Links: documents with the same fingerprints are one node.  Two fingerprints that differ in at most
 ``radius`` bits agree on at least ``bands - radius`` of ``bands`` bit ranges, so every link lies
 inside a shard of fingerprints that agree on some such choice of ranges.  A shard of more than
-``limit`` members is dealt out again by the same argument on the bits that are still free, until
-shards are small or all bits are fixed, so no task searches more than ``limit`` members at a time
-whatever the data.
+``limit`` members is dealt out again: radius + 1 further ranges share out all bits, and two linked
+fingerprints agree on one of them.  This goes on with other ranges until shards are small; what
+is still large after eight rounds agrees on nearly all bits and is searched as it is.
 
 Each shard is searched with a BK-tree: children are keyed by their integer Hamming distance to
 their parent, and a search follows only the edges whose key is within the radius of the distance
@@ -35,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
 from itertools import combinations
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ from lodeframe.storage import stored
 SEED = 42
 #: Hashes that are counted at once.
 LANES = 1 << 17
+#: Rounds in which large shards are dealt out again.
+LEVELS = 8
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -180,11 +183,12 @@ def band_masks(bands: int, radius: int) -> list[int]:
     return [sum(x) for x in combinations(_ranges(list(range(64)), bands), bands - radius)]
 
 
-def finer_masks(mask: int, radius: int) -> list[int]:
-    """``mask`` with one of radius + 1 ranges of its free bits: two fingerprints that differ in
-    ``radius`` free bits at most agree on one of them."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    return sorted({mask | part for part in _ranges(free, radius + 1) if part} or {mask})
+def level_masks(level: int, radius: int) -> list[int]:
+    """radius + 1 ranges that share out the 64 bits in an order that changes with the level: two
+    fingerprints that differ in ``radius`` bits at most agree on one of them."""
+    bits = list(range(64))
+    Random(level).shuffle(bits)
+    return _ranges(bits, radius + 1)
 
 
 def links(nodes: DataFrame, radius: int = 2, bands: int = 6, limit: int = 2048) -> DataFrame:
@@ -195,21 +199,21 @@ def links(nodes: DataFrame, radius: int = 2, bands: int = 6, limit: int = 2048)
     first = each.groupBy("t", "fp").agg(F.min("node").alias("first"))
     rows = first.select("t", "fp", F.col("first").alias("node"))
     same = each.join(first, ["t", "fp"]).where("node > first").selectExpr("node AS a", "first AS b")
-    masks, found = band_masks(bands, radius), [same]
-    deal = F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks))))
-    rows = rows.select("t", "fp", "node", deal.alias("s")).select("t", "s.choice", "s.bits", "fp", "node")
-    keys = ["t", "choice", "bits"]
-    while True:
+    found = [same]
+    masks = F.explode(F.array(*(F.lit(_signed(m)) for m in band_masks(bands, radius))))
+    rows = rows.select("t", "fp", "node", masks.alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    keys = ["t", "mask", "bits"]
+    for level in range(LEVELS + 1):
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
         many = stored(rows.join(sizes, keys), "shards")
-        found.append(many.where(F.col("n") <= limit).repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_searcher(radius), "a long, b long"))
+        cold = many if level == LEVELS else many.where(F.col("n") <= limit)
+        found.append(cold.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_searcher(radius), "a long, b long"))
         hot = many.where(F.col("n") > limit)
-        if hot.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
-        finer = [(k, m) for k, old in enumerate(masks) for m in finer_masks(old, radius)]
-        masks = [m for _, m in finer]
-        options = F.array(*(F.array(*(F.struct(F.lit(c).alias("choice"), F.lit(_signed(m)).alias("mask")) for c, (k, m) in enumerate(finer) if k == old)) for old in range(finer[-1][0] + 1)))
-        rows = hot.select("t", "fp", "node", F.explode(F.get(options, F.col("choice"))).alias("s")).select("t", "s.choice", F.col("fp").bitwiseAND(F.col("s.mask")).alias("bits"), "fp", "node")
+        if level == LEVELS or hot.isEmpty():
+            break
+        finer = F.explode(F.array(*(F.lit(_signed(m)) for m in level_masks(level, radius))))
+        rows = hot.select("t", "fp", "node", "mask", finer.alias("more")).select("t", "fp", "node", F.col("mask").bitwiseOR(F.col("more")).alias("mask")).distinct().withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _searcher(radius: int):
@@ -218,10 +222,10 @@ def _searcher(radius: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fps, nodes, out = None, [], [], []
         for batch in batches:
-            for t, choice, bits, fp, node in zip(*(batch.column(c).to_pylist() for c in ("t", "choice", "bits", "fp", "node")), strict=True):
-                if (t, choice, bits) != key:
+            for t, mask, bits, fp, node in zip(*(batch.column(c).to_pylist() for c in ("t", "mask", "bits", "fp", "node")), strict=True):
+                if (t, mask, bits) != key:
                     out.extend((nodes[i], nodes[j]) for i, j in forest(fps, radius))
-                    key, fps, nodes = (t, choice, bits), [], []
+                    key, fps, nodes = (t, mask, bits), [], []
                 fps.append(fp & 0xFFFFFFFFFFFFFFFF)
                 nodes.append(node)
             if out:
