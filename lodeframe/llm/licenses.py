@@ -92,8 +92,12 @@ def _passages(text: Column) -> Column:
 
 def _bigrams(passage: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(passage), NOT_ALNUM, " ")), " ")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, k: F.concat_ws(" ", F.get(words, k), w))
-    return F.array_distinct(pairs)
+
+    def pairs(w: Column) -> Column:
+        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+    # transform() of one value works out the words once, not once for each pair
+    return F.element_at(F.transform(F.array(words), pairs), 1)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
