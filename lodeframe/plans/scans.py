@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.plans.registry import query, table
-from lodeframe.sources.formats import partitioned, round_trip
+from lodeframe.sources.formats import bucketed, partitioned, round_trip
 from lodeframe.sources.generated import register_series
+from lodeframe.storage import shared_path
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
@@ -67,3 +68,30 @@ def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES (1::BIGINT, 'a'), (2::BIGINT, NULL)) AS t(k, v)")
 def scan_inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+
+
+@query("SELECT count(*) AS files, 25::BIGINT AS names FROM (VALUES (1)) AS t(x)")
+def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of text files as bytes: one row per file."""
+    path = shared_path(spark, "binary")
+    table(spark, sf_dir, "nation").select("n_name").coalesce(1).write.text(path)
+    lines = F.size(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).agg(F.count("*").alias("files"), F.sum(lines).alias("names"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def scan_bucketed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog tables bucketed alike: their join needs no shuffle of either side."""
+    o, i = bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey"), bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey")
+    return o.join(i.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query()
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of about a tenth of the rows, a sampling operator."""
+    return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7)
+
+
+@query()
+def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").sampleBy("o_orderstatus", {"F": 0.2, "O": 0.1, "P": 1.0}, seed=7)

@@ -61,3 +61,16 @@ def stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals by arbitrary state; the last of each key is its total."""
     totals = to_table(running_totals(_events(spark, sf_dir).select("user_id", "value")), "append")
     return totals.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 6).alias("total"))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode gives a window again whenever it changes; the largest count is its last."""
+    changes = to_table(tumbling_counts(_events(spark, sf_dir).withWatermark("ts", "1 hour"), "1 hour", "event_type"), "update")
+    return changes.groupBy("start", "event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+
+
+@query("SELECT event_id FROM events")
+def stream_dedup_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State is kept for the watermark's delay only."""
+    return to_table(_events(spark, sf_dir).select("event_id", "ts").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodeframe.storage import shared_path
 
@@ -28,9 +31,14 @@ def partitioned(df: DataFrame, *columns: str) -> DataFrame:
     """A copy laid out by the values of ``columns``, for partition pruning.  Rows are dealt to
     writers by those values and a salt, so that a hot value has several writers and none writes
     a file for every value."""
-    from pyspark.sql import functions as F
-
     path = shared_path(df.sparkSession, "partitioned")
     salted = df.repartition(*columns, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
     salted.write.partitionBy(*columns).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int = 8) -> DataFrame:
+    """A catalog table bucketed and sorted by ``column``, under a name of its own."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -17,14 +17,16 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: in
 
 
 def to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that the stream gives in ``mode`` ("append" or "complete") over what is there
+    """All rows that the stream gives in ``mode`` ("append", "complete", "update") over what is there
     now, through Parquet files of the shared folder."""
     spark = stream.sparkSession
     path, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint")
     if mode == "append":
         sink = stream.writeStream.format("parquet").option("path", path)
-    else:  # each batch holds the whole result: the last one stands
-        sink = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:  # complete: each batch holds the whole result, the last one stands; update: all changes
+        # a batch that runs again overwrites its own folder
+        at = (lambda n: path) if mode == "complete" else (lambda n: f"{path}/batch={n}")
+        sink = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(at(n)))
     running = sink.outputMode(mode).option("checkpointLocation", checkpoint).queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
