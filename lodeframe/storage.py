@@ -38,3 +38,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish(fs, written: str, final: str) -> None:
+    """Give a finished file its name.  Where a rename doesn't replace and an earlier attempt of
+    the same task was first, its file, the same by construction, stays."""
+    try:
+        fs.move(written, final)
+    except OSError:
+        if not fs.get_file_info(final).is_file:
+            raise
+        fs.delete_file(written)
