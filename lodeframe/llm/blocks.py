@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lodeframe.llm.texts import as_bytes, sliced
-from lodeframe.storage import shared_path, stored
+from lodeframe.storage import publish, shared_path, stored
 
 REQUESTS = "ref long, token binary, weight long"
 #: Bits of a request's number that hold the token's number within its block.
@@ -110,7 +110,7 @@ class _Block:
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{block}{own}") as sink, pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(whole)
-        fs.move(f"{root}/{block}{own}", f"{root}/{block}.arrow")
+        publish(fs, f"{root}/{block}{own}", f"{root}/{block}.arrow")
         counted = freqs if self.weight is None else freqs * np.asarray(table.column(self.weight).fill_null(0), dtype=np.int64)[doc]
         weights = np.bincount(local, counted, minlength=v).astype(np.int64)
         tokens = list(self.numbers)

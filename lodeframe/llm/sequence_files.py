@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import vocab
 from lodeframe.llm.texts import as_bytes, id_and_text, sliced, sums_by
-from lodeframe.storage import shared_path
+from lodeframe.storage import publish, shared_path
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 #: Sequences in a record batch.
@@ -91,8 +91,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
         with fs.open_output_stream(f"{name}.docs{own}") as sink, pa.ipc.new_file(sink, DOCS) as out:
             for x in index:
                 out.write_batch(x)
-        fs.move(f"{name}.docs{own}", f"{name}.docs.arrow")
-        fs.move(f"{name}{own}", f"{name}.arrow")
+        publish(fs, f"{name}.docs{own}", f"{name}.docs.arrow")
+        publish(fs, f"{name}{own}", f"{name}.arrow")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_ids": [done + len(rest)]})
 
     rows = id_and_text(docs, id_col, text_col)
