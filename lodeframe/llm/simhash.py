@@ -293,7 +293,8 @@ def _classes(prints: DataFrame, radius: int, bands: int) -> DataFrame:
     nodes = stored(prints.groupBy("fps").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes, radius, bands))
     rooted = stored(nodes.join(roots, "node", "left").select("fps", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # stored, so that the join deals both sides out itself and can split a component of very many nodes
+    least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     return rooted.join(least, "root").select("fps", "root", "component_id")
 
 
