@@ -49,7 +49,7 @@ BYTES = 256
 #: Symbols that a lane of the automaton takes.
 LANE = 1024
 #: Distinct contexts that a task holds before it gives out their counts.
-HELD = 3_000_000
+HELD = 1_500_000
 
 
 def spelled(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def count_contexts(docs: DataFrame, depth: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=2 << 20):
             more = counted(contexts_of(*spelled(_words(batch)), depth))
             keys, counts = counted(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
             if len(keys) > HELD:
@@ -228,7 +228,7 @@ def count_states(docs: DataFrame, sent) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = sent.value
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=2 << 20):
             symbols, _ = spelled(_words(batch))
             more = counted(automaton.run(symbols).astype(np.int64) * automaton.n_symbols + automaton.symbol[symbols])
             keys, counts = counted(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
