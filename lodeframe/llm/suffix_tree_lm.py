@@ -1,24 +1,29 @@
 """Language-model scores by a probabilistic suffix tree.
 
 A text is its words, A-Z lower-cased, a space between them, and an end; the model's symbols are
-the bytes of that.  The contexts of a symbol are the symbols before it, across words, back to the
-text's start, ``depth`` at most.  (Tree: Ron, Singer and Tishby, "The Power of Amnesia", 1996.)
+the bytes of that, all 256 of them.  The contexts of a symbol are the symbols before it, across
+words, back to the text's start, ``depth`` at most.  (Tree: Ron, Singer and Tishby, "The Power of
+Amnesia", 1996.)
 
-* Candidates are the contexts that precede at least the share ``least_share`` of all symbols.  A
-  depth has at most ``1 / least_share`` of them whatever the corpus: the proven bound on what
-  reaches the driver and is broadcast.
+* Candidates are the contexts that precede at least ``least_count`` symbols, and at least the share
+  ``least_share`` of all if one is given.  The count is absolute, so the tree grows with the corpus.
 * A candidate is retained, with its suffixes, if its next symbols diverge from its longest
-  suffix's: its count times the Kullback-Leibler divergence is above ``divergence`` nats.
+  suffix's: its count times the Kullback-Leibler divergence is above ``divergence`` nats.  In
+  ``suffix_tree_scores`` candidates of up to ``SHORT`` symbols are retained without that test.
 * Next-symbol distributions are smoothed towards the suffix's (Witten-Bell), the root's towards
-  the uniform one over bytes.
+  the uniform one over bytes; a state's probabilities over the 256 bytes add up to 1.
 * A symbol is scored in the state of the longest retained suffix of what comes before it.
 
-Since what precedes a frequent context's last symbol is frequent too, the candidates make up an
-automaton that follows the longest candidate suffix.  It runs in numpy over many pieces of text
-side by side, each entered ``depth`` symbols early, after which its state is exact.
+A gram is a symbol with its ``depth`` contexts' symbols.  A block of documents asks for each of its
+distinct grams once and says how often it is in training texts, as ``blocks`` does for tokens, but
+packed.  Grams are dealt out in buckets by the nearest ``SHORT + 1`` context symbols: all longer
+contexts of a gram are where it is, and what the shorter ones need is complete in a table of
+``SHORT + 1`` bytes, which the size of the alphabet bounds.  A bucket's part of the tree is made
+where its requests meet, and answers them; nothing that grows with the corpus is broadcast or held
+by the driver.
 
-All counts cover all training documents: contexts, then symbols by state, then tokens for the
-base score, which returns to the documents by ``blocks``.
+All counts cover all training documents: grams, then tokens for the base score, which returns to
+the documents by ``blocks``.
 
 Cases: null text counts as empty (one token, the end); a row without an id is a training row;
 repeated rows count as often as they stand; an empty table gives no rows; without training
@@ -31,25 +36,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.blocks import answer, by_token, lists, scanned, write_blocks
+from lodeframe.llm.blocks import LANES, answer, by_token, lists, scanned, write_blocks
 from lodeframe.llm.texts import as_bytes, id_and_text, sliced, sums_by
-from lodeframe.storage import stored
+from lodeframe.storage import publish, shared_path, stored
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: The symbol of a text's end, and of its start as a context.  White space is never in a word.
 END = 10
 #: A word may hold a zero byte, which marks "no symbol" in packed contexts; it is spelled as a tab.
 TABS = bytes.maketrans(b"\0", b"\t")
-#: Contexts of up to 7 symbols fit a number of 64 bits.
+#: Contexts of up to 7 symbols and the next one fit a number of 64 bits.
 MAX_DEPTH = 7
 BYTES = 256
-#: Symbols that a lane of the automaton takes.
-LANE = 1024
-#: Distinct contexts that a task holds before it gives out their counts.
+#: Contexts of up to so many symbols are worked out for all grams at once.
+SHORT = 2
+#: Bytes of text in a block of grams, unless a single text is longer.
+GRAM_BLOCK = 16 << 20
+#: Distinct grams beyond those known that are held before they are merged.
 HELD = 1_500_000
+#: Grams are dealt out in so many buckets (as a power of two).
+BUCKET_BITS = 10
+#: Packed requests or answers in a batch.
+PACKS = 256
 
 
 def spelled(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +87,12 @@ def suffix_mask(depth: int) -> np.uint64:
     return np.uint64((1 << (8 * depth)) - 1)
 
 
+def grams_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each symbol, the symbol lowest, its context above; and where each text begins."""
+    symbols, offsets = spelled(texts)
+    return contexts_of(symbols, offsets, depth) << np.uint64(8) | symbols, offsets
+
+
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts (1 each if None)."""
     if counts is None:
@@ -86,176 +105,251 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], sums
 
 
-class Automaton:
-    """Follows the longest candidate suffix.  States are numbered by depth, then context; 0 is the
-    root.  ``contexts[d]`` are the sorted candidates of depth d."""
-
-    def __init__(self, contexts: list[np.ndarray]):
-        self.contexts = contexts
-        self.first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
-        self.depth = len(contexts) - 1
-        seen = (contexts[1] & np.uint64(255)).astype(np.int64) if self.depth else np.zeros(0, np.int64)
-        seen = np.unique(np.append(seen, END))
-        #: Bytes that are no candidate share the last symbol.
-        self.symbol = np.full(BYTES, len(seen), np.int32)
-        self.symbol[seen] = np.arange(len(seen))
-        self.n_symbols, self._next = len(seen) + 1, None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_next": None}
-
-    def find(self, context: np.ndarray, d: int) -> np.ndarray:
-        """The states of contexts of depth ``d``, all of them candidates."""
-        return self.first[d] + np.searchsorted(self.contexts[d], context)
-
-    def parent(self, d: int) -> np.ndarray:
-        """The states of the suffixes, one symbol shorter, of the candidates of depth ``d``."""
-        return self.find(self.contexts[d] & suffix_mask(d - 1), d - 1)
-
-    @property
-    def next(self) -> np.ndarray:
-        if self._next is None:  # made once in each worker
-            table = np.zeros((int(self.first[-1]), self.n_symbols), np.int32)
-            for d in range(self.depth + 1):
-                own = slice(int(self.first[d]), int(self.first[d + 1]))
-                if d:
-                    table[own] = table[self.parent(d)]
-                if d < self.depth:
-                    longer = self.contexts[d + 1]
-                    before, last = self.find(longer >> np.uint64(8), d), self.symbol[(longer & np.uint64(255)).astype(np.int64)]
-                    whole = before < self.first[d + 1]
-                    table[before[whole], last[whole]] = (self.first[d + 1] + np.arange(len(longer)))[whole]
-            start = np.flatnonzero(self.contexts[1] == END) if self.depth else []
-            table[:, self.symbol[END]] = self.first[1] + start[0] if len(start) else 0
-            self._next = table.ravel()
-        return self._next
-
-    def run(self, symbols: np.ndarray) -> np.ndarray:
-        """The state before each symbol of texts in a row, each closed by its end."""
-        n, a, lead = len(symbols), self.n_symbols, self.depth
-        lanes = -(-n // LANE)
-        padded = np.full(lead + lanes * LANE, END, np.uint8)
-        padded[lead : lead + n] = symbols
-        rows = np.lib.stride_tricks.as_strided(padded, (lead + LANE, lanes), (1, LANE))
-        taken = self.symbol[np.ascontiguousarray(rows)]
-        out = np.empty((LANE, lanes), np.int32)
-        state, table = np.zeros(lanes, np.int32), self.next
-        for t in range(lead + LANE):
-            if t >= lead:
-                out[t - lead] = state
-            state = table[state * a + taken[t]]
-        return np.ascontiguousarray(out.T).ravel()[:n]
+def smoothed(grams: np.ndarray, counts: np.ndarray, depths: range, below: np.ndarray, best: np.ndarray, least: float, divergence: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each gram its symbol's smoothed probability in its longest candidate context and in its
+    longest retained one, of the given depths, and how many contexts are retained.
+
+    ``grams`` are distinct and have all grams of their contexts; ``counts`` may be zero.  ``below``
+    and ``best`` are the same two for the depths before the first.
+    """
+    levels, n_retained = [], 0
+    for d in depths:
+        own, row = np.unique(grams & suffix_mask(d + 1), return_inverse=True)
+        n = np.bincount(row, counts, len(own))
+        context, at = np.unique(own >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(at, n, len(context)), np.bincount(at, n > 0, len(context))
+        # a suffix that reaches beyond the text's start is none
+        candidate = (context >> np.uint64(8 * (d - 1)) != 0) & (total >= max(least, 1)) if d else total > 0
+        before = np.empty(len(own))
+        before[row] = below
+        p = np.where(candidate[at], (n + kinds[at] * before) / np.maximum(total + kinds, 1)[at], before)
+        gain = np.bincount(at, n * np.log(p / before), len(context))
+        below = p[row]
+        levels.append((below, at[row], candidate & (gain > divergence) if d else np.ones(len(context), bool)))
+    longer = np.zeros(len(grams), bool)
+    chosen = best.copy()
+    for p, context, keep in reversed(levels):
+        keep = keep | (np.bincount(context, longer, len(keep)) > 0)
+        n_retained += int(keep.sum())
+        now = keep[context]
+        chosen = np.where(now & ~longer, p, chosen)
+        longer |= now
+    return below, chosen, n_retained
 
 
 class SuffixTree:
-    """An automaton with the smoothed distributions of the retained contexts."""
-
-    def __init__(self, automaton: Automaton, keys: np.ndarray, counts: np.ndarray, divergence: float):
-        """``keys``: state * n_symbols + symbol, each counted in its longest candidate state."""
-        self.automaton = automaton
-        a, n = automaton.n_symbols, int(automaton.first[-1])
-        table = np.zeros((n, a), np.float32)
-        table.ravel()[keys] = counts
-        for d in range(automaton.depth, 0, -1):  # what is counted in a state counts for its suffixes
-            np.add.at(table, automaton.parent(d), table[automaton.first[d] : automaton.first[d + 1]])
-        keep = np.zeros(n, bool)
-        keep[0] = True
-        smooth = np.zeros_like(table)
-        for d in range(automaton.depth + 1):
-            own = slice(int(automaton.first[d]), int(automaton.first[d + 1]))
-            below = smooth[automaton.parent(d)] if d else np.full((1, a), 1 / BYTES, np.float32)
-            seen = table[own]
-            kinds = (seen > 0).sum(axis=1, keepdims=True).astype(np.float32)
-            total = seen.sum(axis=1, keepdims=True)
-            smooth[own] = np.where(total > 0, (seen + kinds * below) / np.maximum(total + kinds, 1), below)
-            if d:
-                ratio = np.log(np.maximum(smooth[own], 1e-30) / np.maximum(below, 1e-30))
-                keep[own] = (seen * ratio).sum(axis=1) > divergence
-        row = np.zeros(n, np.int32)
-        for d in range(automaton.depth, 0, -1):
-            keep[automaton.parent(d)[keep[automaton.first[d] : automaton.first[d + 1]]]] = True
-        row[keep] = np.arange(int(keep.sum()))
-        for d in range(1, automaton.depth + 1):  # a state that isn't retained scores as its suffix
-            own = np.arange(automaton.first[d], automaton.first[d + 1])
-            lost = ~keep[own]
-            row[own[lost]] = row[automaton.parent(d)[lost]]
-        self.row, self.log10 = row, np.log10(smooth[keep]).ravel()
-        self.n_retained = int(keep.sum())
+    """The model in memory, for small training texts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, least: float, divergence: float):
+        self.grams, self.counts = counted(grams, counts)
+        self.depth, self.least, self.divergence = depth, least, divergence
+        self.n_retained = self._probabilities(self.grams, self.counts)[1]
+
+    def _probabilities(self, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+        start = np.full(len(grams), 1 / BYTES)
+        return smoothed(grams, counts, range(self.depth + 1), start, start, self.least, self.divergence)[1:]
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """The log10 probability of each text."""
-        symbols, offsets = spelled(texts)
-        own = self.automaton.symbol[symbols]
-        each = self.log10[self.row[self.automaton.run(symbols)].astype(np.int64) * self.automaton.n_symbols + own]
-        return sums_by(each.astype(np.float64), offsets)
+        asked, offsets = grams_of(texts, self.depth)
+        grams, counts = counted(np.concatenate([self.grams, asked]), np.concatenate([self.counts, np.zeros(len(asked), np.int64)]))
+        return sums_by(np.log10(self._probabilities(grams, counts)[0])[np.searchsorted(grams, asked)], offsets)
 
 
 def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
     return [text.lower().split() for text in as_bytes(batch.column("text"))]
 
 
-def count_contexts(docs: DataFrame, depth: int) -> DataFrame:
-    """(context, n) over all symbols of the texts."""
+def distinct_grams(parts: list[pa.RecordBatch], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted grams of a block and how often each is in training texts."""
+    held, n = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return counted(*map(np.concatenate, zip(*held, strict=True)))
+
+    for part in parts:
+        words, train = _words(part), np.asarray(part.column("train")) == 1
+        held.append(counted(grams_of([w for w, t in zip(words, train, strict=True) if t], depth)[0]))
+        asked = counted(grams_of([w for w, t in zip(words, train, strict=True) if not t], depth)[0])[0]
+        held.append((asked, np.zeros(len(asked), np.int64)))
+        n += len(held[-2][0]) + len(asked)
+        if n > HELD + len(held[0][0]):
+            held, n = [merged()], 0
+    return merged()
+
+
+def bucket_of(grams: np.ndarray) -> np.ndarray:
+    """A number that depends on the nearest ``SHORT + 1`` symbols of the context only."""
+    near = grams >> np.uint64(8) & suffix_mask(SHORT + 1)
+    return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+
+
+def _packed(**columns: np.ndarray) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return {c: np.asarray(batch.column(c)) for c in batch.schema.names}
+
+
+def ask_grams(rows: DataFrame, depth: int) -> tuple[DataFrame, str]:
+    """Cut ``rows`` (doc_id, text, train) into blocks, each written to the folder that is returned.
+    A request (bucket, block, grams) holds all of a block's grams of one bucket, with their counts."""
+    folder = shared_path(rows.sparkSession, "grams")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        made, own = context.partitionId() << 12, f".attempt-{context.taskAttemptId()}"
+        parts, n_bytes = [], 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            fs, root = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            grams, counts = distinct_grams(parts, depth)
+            with fs.open_output_stream(f"{root}/{made}.grams{own}") as sink:
+                sink.write(_packed(grams=np.diff(grams, prepend=np.uint64(0))))
+            publish(fs, f"{root}/{made}.grams{own}", f"{root}/{made}.grams")
+            with fs.open_output_stream(f"{root}/{made}{own}") as sink, pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in parts:
+                    out.write_batch(part)
+            publish(fs, f"{root}/{made}{own}", f"{root}/{made}.arrow")
+            buckets = bucket_of(grams)
+            order = np.argsort(buckets, kind="stable")
+            grams, counts, buckets = grams[order], counts[order], buckets[order]
+            first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+            sent = [_packed(grams=np.diff(grams[a:b], prepend=np.uint64(0)), counts=counts[a:b].astype(np.int32)) for a, b in zip(first, np.append(first[1:], len(grams)), strict=True)]
+            for k in range(0, len(first), PACKS):
+                n = len(first[k : k + PACKS])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[first[k : k + n]].astype(np.int64)), pa.array(np.full(n, made, np.int64)), pa.array(sent[k : k + n], pa.binary())], ["bucket", "block", "grams"])
+
+        for part in sliced(batches, limit=2 << 20):
+            parts.append(part)
+            n_bytes += part.column("text").nbytes
+            if n_bytes >= GRAM_BLOCK:
+                yield from closed()
+                made, parts, n_bytes = made + 1, [], 0
+        if parts:
+            yield from closed()
+
+    return scanned(rows).mapInArrow(build, "bucket long, block long, grams binary"), folder
+
+
+def short_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of ``SHORT`` context symbols and how often each is in training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        counts = np.zeros(BYTES ** (SHORT + 1), np.int64)
+        asked = np.zeros(len(counts), bool)
         for batch in sliced(batches, limit=2 << 20):
-            more = counted(contexts_of(*spelled(_words(batch)), depth))
-            keys, counts = counted(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
-            if len(keys) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["context", "n"])
-                keys, counts = keys[:0], counts[:0]
-        for k in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000].view(np.int64)), pa.array(counts[k : k + 200_000])], ["context", "n"])
-
-    return docs.mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
-
-
-def candidates(contexts: DataFrame, depth: int, least_share: float) -> list[np.ndarray]:
-    """The sorted contexts of each depth that have at least the share ``least_share``."""
-    total = contexts.agg(F.sum("n")).first()[0] or 0
-    # a suffix that reaches beyond the text's start is none
-    suffixes = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("context").bitwiseAND((1 << (8 * d)) - 1).alias("suffix"), (F.shiftrightunsigned("context", 8 * (d - 1)).bitwiseAND(255) != 0).alias("real")) for d in range(1, depth + 1)))
-    each = contexts.select(F.explode(suffixes).alias("s"), "n").where("s.real").select("s.depth", "s.suffix", "n")
-    found = each.groupBy("depth", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least_share * total).select("depth", "suffix").toArrow()
-    depths, suffixes = np.asarray(found.column("depth")), np.asarray(found.column("suffix")).astype(np.int64).view(np.uint64)
-    return [np.zeros(1, np.uint64), *(np.sort(suffixes[depths == d]) for d in range(1, depth + 1))]
-
-
-def count_states(docs: DataFrame, sent) -> DataFrame:
-    """(key, n): how often each symbol follows each state of the broadcast automaton."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = sent.value
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in sliced(batches, limit=2 << 20):
-            symbols, _ = spelled(_words(batch))
-            more = counted(automaton.run(symbols).astype(np.int64) * automaton.n_symbols + automaton.symbol[symbols])
-            keys, counts = counted(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
-        for k in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000]), pa.array(counts[k : k + 200_000])], ["key", "n"])
-
-    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train_suffix_tree(docs: DataFrame, depth: int = 6, least_share: float = 3e-6, divergence: float = 4.0) -> SuffixTree:
-    """The tree of all texts of ``docs`` (a column ``text`` without nulls)."""
+            grams, offsets = grams_of(_words(batch), SHORT)
+            asked[grams.astype(np.int64)] = True
+            train = np.repeat(np.asarray(batch.column("train")) == 1, np.diff(offsets))
+            own = counted(grams[train])
+            counts[own[0].astype(np.int64)] += own[1]
+        found = np.flatnonzero(asked)
+        for k in range(0, len(found), LANES):
+            yield pa.RecordBatch.from_arrays([pa.array(found[k : k + LANES]), pa.array(counts[found[k : k + LANES]])], ["gram", "n"])
+
+    got = rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return counted(np.asarray(got.column("gram")).astype(np.int64).view(np.uint64), np.asarray(got.column("n")).astype(np.int64))
+
+
+def answer_grams(requests: DataFrame, lows: tuple[np.ndarray, np.ndarray], depth: int, least_count: int, least_share: float, divergence: float) -> DataFrame:
+    """Answers (block, bucket, p): the log10 probabilities of a request's grams, in their order."""
+    grams, counts = lows
+    short = min(SHORT, depth)
+    if short < SHORT:
+        grams, counts = counted(grams & suffix_mask(short + 1), counts)
+    least = max(least_count, least_share * counts.sum())
+    start = np.full(len(grams), 1 / BYTES)
+    sent = requests.sparkSession.sparkContext.broadcast((grams, *smoothed(grams, counts, range(short + 1), start, start, least, -np.inf)[:2]))
+
+    def answered(bucket: int, blocks: list[int], packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        lows, below, best = sent.value
+        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, n = [], 0
+        for k, pack in enumerate(packs):
+            own = _unpacked(pack)
+            held.append((np.cumsum(own["grams"]), own["counts"].astype(np.int64)))
+            n += len(own["grams"])
+            if n > HELD + len(grams) or k == len(packs) - 1:
+                grams, counts = counted(np.concatenate([grams, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
+                held, n = [], 0
+        at = np.searchsorted(lows, grams & suffix_mask(short + 1))
+        p = np.log10(smoothed(grams, counts, range(short + 1, depth + 1), below[at], best[at], least, divergence)[1]).astype(np.float32)
+        for k in range(0, len(packs), PACKS):
+            sent_back = [_packed(p=p[np.searchsorted(grams, np.cumsum(_unpacked(pack)["grams"]))]) for pack in packs[k : k + PACKS]]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[k : k + PACKS], pa.int64()), pa.array([bucket] * len(sent_back), pa.int64()), pa.array(sent_back, pa.binary())], ["block", "bucket", "p"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blocks, packs = None, [], []
+        for batch in batches:
+            for bucket, block, pack in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "grams")), strict=True):
+                if bucket != last and packs:
+                    yield from answered(last, blocks, packs)
+                    blocks, packs = [], []
+                last = bucket
+                blocks.append(block)
+                packs.append(pack)
+        if packs:
+            yield from answered(last, blocks, packs)
+
+    return requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "block long, bucket long, p binary")
+
+
+def tree_scores(rows: DataFrame, depth: int, least_count: int, least_share: float, divergence: float) -> DataFrame:
+    """``rows`` (doc_id, text, train) with their ``score``; learns from those where train is 1."""
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth is from 1 to {MAX_DEPTH}")
+    lows = short_grams(rows)
+    requests, folder = ask_grams(rows, depth)
+
+    def close(table: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(table.column("bucket")))
+        answers = table.column("p").to_pylist()
+        by_bucket = np.concatenate([_unpacked(answers[k])["p"] for k in order])
+        fs, root = pafs.FileSystem.from_uri(folder)
+        name = f"{root}/{table.column('block')[0].as_py()}"
+        with fs.open_input_file(f"{name}.arrow") as f:
+            parts = list(pa.ipc.open_stream(f))
+        with fs.open_input_file(f"{name}.grams") as f:
+            grams = np.cumsum(_unpacked(f.read())["grams"])
+        p = np.empty_like(by_bucket)
+        p[np.argsort(bucket_of(grams), kind="stable")] = by_bucket
+        out = []
+        for part in parts:
+            asked, offsets = grams_of(_words(part), depth)
+            kinds, row = np.unique(asked, return_inverse=True)  # sorted ones are found faster
+            score = sums_by(p[np.searchsorted(grams, kinds)][row].astype(np.float64), offsets)
+            out.append(pa.table({c: part.column(c) for c in ("doc_id", "text", "train")} | {"score": pa.array(score)}))
+        return pa.concat_tables(out)
+
+    answers = answer_grams(requests, lows, depth, least_count, least_share, divergence)
+    return answers.groupBy("block").applyInArrow(close, "doc_id long, text string, train long, score double")
+
+
+def train_suffix_tree(docs: DataFrame, depth: int = 6, least_share: float = 0.0, divergence: float = 4.0, least_count: int = 2) -> SuffixTree:
+    """The tree of all texts of ``docs`` (a column ``text`` without nulls), in the driver's memory."""
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth is from 1 to {MAX_DEPTH}")
-    automaton = Automaton(candidates(stored(count_contexts(docs, depth), "contexts"), depth, least_share))
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
-    counts = count_states(docs, sent).toArrow()
-    return SuffixTree(automaton, np.asarray(counts.column("key")).astype(np.int64), np.asarray(counts.column("n")), divergence)
+    texts = [r["text"].encode().lower().split() for r in docs.select("text").collect()]
+    grams = grams_of(texts, depth)[0]
+    return SuffixTree(grams, np.ones(len(grams), np.int64), depth, max(least_count, least_share * len(grams)), divergence)
 
 
-def suffix_tree_scores(docs: DataFrame, depth: int = 6, least_share: float = 3e-6, divergence: float = 4.0, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, depth: int = 6, least_share: float = 0.0, divergence: float = 4.0, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", least_count: int = 2) -> DataFrame:
     """One row per document; learns from those whose crc32(id as text) mod ``folds`` isn't
     ``held_fold``."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
     rows = scanned(id_and_text(docs, id_col, text_col)).withColumn("train", (~held).cast("long"))
     training = rows.where("train = 1").select("text")
-    tree = docs.sparkSession.sparkContext.broadcast(train_suffix_tree(training, depth, least_share, divergence))
-    requests, folder = write_blocks(rows, lambda text: text.lower().split(), "train", lambda texts: {"score": tree.value.scores(texts)})
+    scored = stored(tree_scores(rows, depth, least_count, least_share, divergence), "scored")
+    requests, folder = write_blocks(scored, lambda text: text.lower().split(), "train")
     requests = stored(requests, "requests")
     kinds = requests.where("octet_length(token) > 0").groupBy("token").agg(F.sum("weight").alias("c")).where("c > 0")
     totals = kinds.agg(F.sum("c").alias("words"), F.count("*").alias("kinds")).first()

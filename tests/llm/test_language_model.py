@@ -95,3 +95,25 @@ def test_held_out_texts_score_above_the_base(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
     got = suffix_tree_scores(rows).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert got["s"] > got["b"]
+
+
+def test_a_rare_context_is_kept_however_large_the_rest(spark):
+    """A pattern seen a few times among so many symbols that its share is far below any fixed one."""
+    random.seed(8)
+    words = ["".join(random.choice("etaoinsr") for _ in range(random.randint(2, 7))) for _ in range(400)]
+    bulk = [" ".join(random.choice(words) for _ in range(2000)) for _ in range(120)]
+    rows = [(k, t) for k, t in enumerate(bulk)] + [(None, "qqzvkqj")] * 3
+    asked = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 7 == 2)
+    got = suffix_tree_scores(spark.createDataFrame([*rows, (asked, "qqzvkqj")], "doc_id long, text string")).where(f"doc_id = {asked}").first()
+    assert got["held_out"]
+    # its symbols after the first follow contexts seen three times, always with the same next symbol
+    assert got["score"] > -5.5
+
+
+def test_scores_of_the_table_are_those_in_memory(spark, texts):
+    rows = [(k, t) for k, t in enumerate(texts)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree_scores(docs, depth=5, divergence=-math.inf).collect()}
+    tree = train_suffix_tree(spark.createDataFrame([(t,) for k, t in rows if not held(k)], "text string"), 5, 0.0, -math.inf)
+    assert any(map(held, got)) and np.allclose([got[k] for k, _ in rows], tree.scores([t.encode().lower().split() for _, t in rows]), rtol=1e-5)
