@@ -110,6 +110,14 @@ def test_a_rare_context_is_kept_however_large_the_rest(spark):
     assert got["score"] > -5.5
 
 
+def test_probabilities_of_rare_bytes_add_up(spark):
+    """Bytes that are each below the share have their own probabilities, not all their sum."""
+    spelt = [bytes([b]) for b in range(33, 127) if not 65 <= b <= 90]
+    tree = train_suffix_tree(spark.createDataFrame([(w.decode(),) for w in spelt], "text string"), 2, 0.05, 2.0)
+    every = [[bytes([b])] for b in range(1, 256) if bytes([b]).lower().split() == [bytes([b])]]
+    assert sum(10.0 ** tree.scores(every)) <= 1
+
+
 def test_scores_of_the_table_are_those_in_memory(spark, texts):
     rows = [(k, t) for k, t in enumerate(texts)]
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
