@@ -4,8 +4,10 @@ Fingerprints: a bit is set if it is set in more than half of the hashes of the t
 feature: zero).  ``simhash_components`` hashes all 3-word shingles, repeats included, with XXH64
 and seed 42.  ``drop_near_duplicates`` is to find texts that share four fifths of their 5-word
 shingles, for which a single fingerprint of shingles at a small radius is too coarse (it found one
-in six such pairs); it takes several fingerprints of the distinct words instead and links texts
-that are near in any of them.
+in six such pairs); it takes several fingerprints of the distinct words instead, compares texts
+that are near in any of them, and links those whose shingle sets are similar enough.  It first
+compares a forest of each shard, then goes on with pairs that were neither refuted nor are in one
+component, ever more at a time, until there are none.
 
 Links: documents with the same fingerprints are one node.  Two fingerprints that differ in at most
 ``radius`` bits agree on at least ``bands - radius`` of ``bands`` bit ranges, so every link lies
@@ -305,25 +307,176 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, bands:
     return prints.join(classes, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, tables: int = 4, radius: int = 3, bands: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles."""
+    return np.array(sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, width)}), np.uint64)
+
+
+def _digest_of(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def _shards(nodes: DataFrame, radius: int, bands: int, limit: int) -> DataFrame:
+    """(t, mask, bits, fp, node, size): all shards of several nodes, as in ``links``, but nodes that
+    share a fingerprint all take part."""
+    each = nodes.select("node", "size", F.posexplode("fps").alias("t", "fp"))
+    masks = F.explode(F.array(*(F.lit(_signed(m)) for m in band_masks(bands, radius))))
+    rows = each.select("t", "fp", "node", "size", masks.alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+    keys, found = ["t", "mask", "bits"], []
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.approx_count_distinct("fp").alias("kinds")).where("n > 1")
+        many = stored(rows.join(sizes, keys), "shards")
+        # what shares one fingerprint isn't split by further bits
+        hot = many.where((F.col("n") > limit) & (F.col("kinds") > 1))
+        last = level == LEVELS or hot.isEmpty()
+        found.append((many if last else many.where((F.col("n") <= limit) | (F.col("kinds") <= 1))).select(*keys, "fp", "node", "size"))
+        if last:
+            return reduce(DataFrame.unionByName, found)
+        finer = F.explode(F.array(*(F.lit(_signed(m)) for m in level_masks(level, radius))))
+        rows = hot.select("t", "fp", "node", "size", "mask", finer.alias("more")).select("t", "fp", "node", "size", F.col("mask").bitwiseOR(F.col("more")).alias("mask")).distinct().withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def untested(members: list[tuple[int, int, int, int, set[int]]], radius: int, threshold: float, most: int) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes of one shard, within the radius, that may be linked and weren't tested.
+
+    ``members``: (fp, node, size, root, refuted); pairs with one root are linked already, and
+    ``refuted`` holds the lesser nodes that a node was tested against in vain.  With ``most`` 0 the
+    pairs only join the roots that could be joined (a forest), else a node gives ``most`` pairs.
+    """
+    tree, at, parent = BKTree(), {}, {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for fp, node, size, root, refuted in members:
+        given = 0
+        for k in tree.within(fp, radius):
+            for other_root, others in at[tree.values[k]].items():
+                if other_root == root or (most and given >= most) or (not most and top(root) == top(other_root)):
+                    continue
+                for other, other_size, other_refuted in others:
+                    if min(size, other_size) < threshold * max(size, other_size) or min(node, other) in (refuted if node > other else other_refuted):
+                        continue
+                    yield max(node, other), min(node, other)
+                    given += 1
+                    if not most:
+                        parent[top(root)] = top(other_root)
+                    if not most or given >= most:
+                        break
+        if fp not in at:
+            at[fp] = {}
+            tree.add(fp)
+        at[fp].setdefault(root, []).append((node, size, refuted))
+
+
+def _tester(radius: int, threshold: float, most: int):
+    """``untested`` over shards whose rows come one after another."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, out = None, [], []
+        pack = lambda pairs: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
+        for batch in batches:
+            for t, mask, bits, fp, node, size, root, refuted in zip(*(batch.column(c).to_pylist() for c in ("t", "mask", "bits", "fp", "node", "size", "root", "refuted")), strict=True):
+                if (t, mask, bits) != key:
+                    out.extend(untested(members, radius, threshold, most))
+                    key, members = (t, mask, bits), []
+                members.append((fp & 0xFFFFFFFFFFFFFFFF, node, size, root, set(refuted or ())))
+            if out:
+                yield pack(out)
+                out = []
+        out.extend(untested(members, radius, threshold, most))
+        if out:
+            yield pack(out)
+
+    return search
+
+
+def _tested(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(a, b, linked): whether the shingle sets of the nodes' texts (row, text) are similar enough."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, limit=1 << 20):
+            sets = [shingle_set(x, width).tobytes() for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], ["row", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(both >= threshold * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    used = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = stored(texts.join(used, "row").select("row", "text").mapInArrow(cut, "row long, own binary"), "sets")
+    each = pairs.join(sets.selectExpr("row AS a", "own AS x"), "a").join(sets.selectExpr("row AS b", "own AS y"), "b")
+    return each.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+
+
+def confirmed_roots(nodes: DataFrame, texts: DataFrame, radius: int, bands: int, width: int, threshold: float, limit: int = 2048) -> DataFrame | None:
+    """(node, root) of the nodes (node, fps, size) that a tested link joins to others; None if no
+    link was found.  Goes on until each pair within the radius is in one component or was refuted."""
+    shards = stored(_shards(nodes, radius, bands, limit), "all_shards")
+    keys, most = ["t", "mask", "bits"], 0
+    tests, roots = None, None
+    while True:
+        rows = shards
+        if roots is None:
+            rows = rows.withColumn("root", F.col("node"))
+        else:
+            rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if tests is None:
+            rows = rows.withColumn("refuted", F.array().cast("array<long>"))
+        else:
+            rows = rows.join(tests.where("NOT linked").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refuted")), "node", "left")
+        pairs = stored(rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_tester(radius, threshold, most), "a long, b long").distinct(), "pairs")
+        if pairs.isEmpty():
+            return roots
+        now = stored(_tested(pairs, texts, width, threshold), "tests")
+        tests = now if tests is None else tests.unionByName(now)
+        if not now.where("linked").isEmpty():
+            roots = stored(components(tests.where("linked").select("a", "b")), "confirmed")
+        most = max(4, 4 * most)
+
+
+def drop_near_duplicates(docs: DataFrame, tables: int = 8, radius: int = 3, bands: int = 5, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One document of each component, the one with the least id, with all its columns.
 
-    Of rows that repeat that id one stays; where no member has an id, one row stays.
+    Links join texts whose sets of ``width``-word shingles have a Jaccard similarity of at least
+    ``threshold``; the fingerprints only say which texts are compared.  Texts with equal sets are
+    one node.  Of rows that repeat the least id one stays; where no member has an id, one row stays.
     """
-    prints = fingerprinted(docs, distinct_words, tables, id_col, text_col)
-    classes = stored(_classes(prints, radius, bands), "classes")
-    kept = classes.where("component_id IS NOT NULL").select(F.col("component_id").alias("kept_id")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = as_bytes(batch.column("text"))
+            own = fingerprints(texts, distinct_words, tables).view(np.int64)
+            sets = [shingle_set(x, width) for x in texts]
+            columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "fps": pa.array(own.tolist(), pa.list_(pa.int64())), "size": pa.array(list(map(len, sets)), pa.int64()), "digest": pa.array(list(map(_digest_of, sets)), pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    rows = id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, text string, fps array<long>, size long, digest binary")
+    prints = stored(rows.withColumn("row", F.monotonically_increasing_id()), "prints")
+    nodes = prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
+    nodes = stored(nodes.join(prints.selectExpr("row AS node", "fps", "size"), "node"), "nodes")
+    roots = confirmed_roots(nodes.where("size > 0"), prints, radius, bands, width, threshold)
+    rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted.select("digest", "first_id", "root"), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    kept = least.where("component_id IS NOT NULL").select(F.col("component_id").alias("kept_id")).distinct()
     named = docs.join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    unnamed = classes.where("component_id IS NULL").select(F.col("fps").alias("__fps"), F.col("root").alias("__root"))
+    unnamed = rooted.join(least.where("component_id IS NULL"), "root").select(F.col("digest").alias("__digest"), F.col("root").alias("__root"))
     if unnamed.isEmpty():
         return named
     without = docs.where(F.col(id_col).isNull()).withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text"):
-            own = fingerprints(as_bytes(batch.column("__text")), distinct_words, tables).view(np.int64)
-            yield batch.append_column("__fps", pa.array(own.tolist(), pa.list_(pa.int64())))
+            yield batch.append_column("__digest", pa.array([_digest_of(shingle_set(x, width)) for x in as_bytes(batch.column("__text"))], pa.binary()))
 
-    schema = without.select("*", F.array(F.lit(0).cast("long")).alias("__fps")).schema
-    one = without.mapInArrow(add, schema).join(unnamed, "__fps").dropDuplicates(["__root"])
+    schema = without.select("*", F.lit(b"").alias("__digest")).schema
+    one = without.mapInArrow(add, schema).join(unnamed, "__digest").dropDuplicates(["__root"])
     return named.unionByName(one.select(*docs.columns))

@@ -132,3 +132,16 @@ def test_dropping_keeps_one_of_each_group(spark, odd, none):
 
 def test_distinct_words():
     assert sorted(distinct_words(b"A a b")) == [b"a", b"b"]
+
+
+def test_only_texts_that_share_shingles_are_dropped(spark):
+    random.seed(6)
+    words = [f"w{random.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(12):  # the same words in other orders, every second with a near copy
+        random.shuffle(words)
+        rows.append((10 * k, " ".join(words)))
+        if k % 2:
+            rows.append((10 * k + 1, " ".join([*words, "more"])))
+    got = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [10 * k for k in range(12)]
