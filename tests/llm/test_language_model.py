@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodeframe.llm.suffix_tree_lm import suffix_tree_scores, train_suffix_tree
+from lodeframe.llm.suffix_tree_lm import Places, counted, suffix_tree_scores, train_suffix_tree
 
 DEPTH, SHARE, DIVERGENCE = 3, 0.002, 2.0
 
@@ -125,3 +125,29 @@ def test_scores_of_the_table_are_those_in_memory(spark, texts):
     got = {r.doc_id: r.score for r in suffix_tree_scores(docs, depth=5, divergence=-math.inf).collect()}
     tree = train_suffix_tree(spark.createDataFrame([(t,) for k, t in rows if not held(k)], "text string"), 5, 0.0, -math.inf)
     assert any(map(held, got)) and np.allclose([got[k] for k, _ in rows], tree.scores([t.encode().lower().split() for _, t in rows]), rtol=1e-5)
+
+
+def test_many_blocks_give_what_one_gives(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = ({r.doc_id: r for r in suffix_tree_scores(docs, **more).collect()} for more in ({}, {"block_bytes": 3000}))
+    assert len(one) == docs.count() and all(tuple(many[k])[:5] == tuple(r)[:5] and math.isclose(many[k].score, r.score, rel_tol=1e-9) and math.isclose(many[k].base_score, r.base_score, rel_tol=1e-9) for k, r in one.items())
+
+
+def test_probabilities_of_a_state_add_up_to_one(spark, texts):
+    """Over all 256 bytes, at any share: the next symbol after a text's start and after 't', 'th'."""
+    for share in (0.0, 1e-3, 0.05):
+        tree = train_suffix_tree(spark.createDataFrame([(t,) for t in texts], "text string"), 3, share, 0.0)
+        for before in (b"\n", b"\nt", b"\nth", b"\nxx"):
+            context = int.from_bytes(before[-3:], "big")
+            grams = np.array([context << 8 | b for b in range(256)], np.uint64)
+            every, counts = counted(np.concatenate([tree.grams, grams]), np.concatenate([tree.counts, np.zeros(256, np.int64)]))
+            p = tree.probabilities(every, counts)[np.searchsorted(every, grams)]
+            assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+
+
+def test_places():
+    random.seed(2)
+    keys = np.unique(np.array([random.getrandbits(random.choice([8, 20, 56])) for _ in range(5000)], np.uint64))
+    asked = keys[np.array([random.randrange(len(keys)) for _ in range(20000)])]
+    for tables in (1, 2, 5):
+        assert (keys[Places(keys, tables).find(asked)] == asked).all()
