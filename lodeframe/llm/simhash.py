@@ -2,26 +2,20 @@
 
 Fingerprints: a bit is set if it is set in more than half of the hashes of the text's features (no
 feature: zero).  ``simhash_components`` hashes all 3-word shingles, repeats included, with XXH64
-and seed 42.  ``drop_near_duplicates`` is to find texts that share four fifths of their 5-word
-shingles, for which a single fingerprint of shingles at a small radius is too coarse (it found one
-in six such pairs); it takes several fingerprints of the distinct words instead, compares texts
-that are near in any of them, and links those whose shingle sets are similar enough.  It first
-compares a forest of each shard, then goes on with pairs that were neither refuted nor are in one
-component, ever more at a time, until there are none.
-
-Links: documents with the same fingerprints are one node.  Two fingerprints that differ in at most
-``radius`` bits agree on at least ``bands - radius`` of ``bands`` bit ranges, so every link lies
-inside a shard of fingerprints that agree on some such choice of ranges.  A shard of more than
-``limit`` members is dealt out again: radius + 1 further ranges share out all bits, and two linked
-fingerprints agree on one of them.  This goes on with other ranges until shards are small; what
-is still large after eight rounds agrees on nearly all bits and is searched as it is.
+and seed 42.  Documents with the same fingerprint are one node.
+
+Shards: two fingerprints that differ in at most ``radius`` bits agree on one of ``radius + 1`` ranges
+that share out the 64 bits, so each is in one shard for each range: those that agree with it on
+the range's first bits, as many bits as make shards of about ``size`` members.  A shard that turns
+out to have more than ``limit`` members goes on by the whole range, then by further ranges in other
+orders; what is still large after eight rounds agrees on nearly all bits and is searched as it is.
 
 Each shard is searched with a BK-tree: children are keyed by their integer Hamming distance to
 their parent, and a search follows only the edges whose key is within the radius of the distance
-to the node.  A shard's tree is built where its members meet instead of being broadcast, because
-trees of all fingerprints would grow with the corpus.  Only the links that join two so far
-separate sets of a shard are given out (a spanning forest), fewer than the shard has members,
-so groups of copies never become all their pairs.
+to the node.  A shard's tree is built where its members meet.  To broadcast the trees, the driver
+would have to gather the fingerprints of all documents, which grow with the corpus.  Only the links
+that join two so far separate sets of a shard are given out (a spanning forest), fewer than the
+shard has members, so groups of copies never become all their pairs.
 
 Components: large-star / small-star contraction over the links (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014), each round written to the shared folder.
@@ -29,14 +23,14 @@ Components in MapReduce and Beyond", 2014), each round written to the shared fol
 Cases: null text counts as empty; documents without words share the fingerprint zero and are
 linked like any other; rows without an id take part, and component_id is null only where no
 member has an id; repeated rows give repeated rows; an empty table gives no rows; other columns
-are ignored by ``simhash_components`` and returned untouched by ``drop_near_duplicates``.
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
-from itertools import combinations
+from math import ceil, log2
 from random import Random
 
 import numpy as np
@@ -180,9 +174,18 @@ def _ranges(bits: list[int], parts: int) -> list[int]:
     return [sum(1 << b for b in bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]) for k in range(parts)]
 
 
-def band_masks(bands: int, radius: int) -> list[int]:
-    """Masks of all choices of ``bands - radius`` of ``bands`` ranges of the 64 bits."""
-    return [sum(x) for x in combinations(_ranges(list(range(64)), bands), bands - radius)]
+def shard_masks(radius: int, n: int, size: int) -> dict[int, int]:
+    """Of each of ``radius + 1`` ranges that share out the 64 bits: the mask of its first bits, so
+    many that ``n`` fingerprints make shards of about ``size``, and the mask of all of it.
+
+    >>> sorted(shard_masks(1, 4096, 512).items()) == [(0b111, 2**32 - 1), (0b111 << 32, 2**64 - 2**32)]
+    True
+    """
+    bits, out = max(0, ceil(log2(max(1, n / size)))), {}
+    for k in range(radius + 1):
+        own = list(range(64 * k // (radius + 1), 64 * (k + 1) // (radius + 1)))
+        out[sum(1 << b for b in own[:bits])] = sum(1 << b for b in own)
+    return out
 
 
 def level_masks(level: int, radius: int) -> list[int]:
@@ -193,29 +196,42 @@ def level_masks(level: int, radius: int) -> list[int]:
     return _ranges(bits, radius + 1)
 
 
-def links(nodes: DataFrame, radius: int = 2, bands: int = 6, limit: int = 2048) -> DataFrame:
-    """Links (a, b) that join the nodes (node, fps: their fingerprints as signed longs) as all
-    links within the radius in any of the fingerprints do."""
-    each = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
-    # nodes that share a fingerprint are linked to the first; only that one is searched
-    first = each.groupBy("t", "fp").agg(F.min("node").alias("first"))
-    rows = first.select("t", "fp", F.col("first").alias("node"))
-    same = each.join(first, ["t", "fp"]).where("node > first").selectExpr("node AS a", "first AS b")
-    found = [same]
-    masks = F.explode(F.array(*(F.lit(_signed(m)) for m in band_masks(bands, radius))))
-    rows = rows.select("t", "fp", "node", masks.alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-    keys = ["t", "mask", "bits"]
+def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int) -> DataFrame:
+    """``rows`` (t, fp and further columns) with the shards (t, mask, bits) that each is in; ``n`` is
+    the number of rows of a table ``t``."""
+    masks, keys = shard_masks(radius, n, size), ["t", "mask", "bits"]
+    wholes = F.create_map(*(F.lit(_signed(x)) for pair in masks.items() for x in pair))
+    columns = [c for c in rows.columns if c not in keys]
+    bits = F.col("fp").bitwiseAND(F.col("mask"))
+    dealt, found = rows.select("*", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("bits", bits), []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-        many = stored(rows.join(sizes, keys), "shards")
-        cold = many if level == LEVELS else many.where(F.col("n") <= limit)
-        found.append(cold.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_searcher(radius), "a long, b long"))
-        hot = many.where(F.col("n") > limit)
-        if level == LEVELS or hot.isEmpty():
+        # what shares one fingerprint isn't split by further bits
+        large = stored(dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where((F.col("n") > limit) & (F.col("low") < F.col("high"))).select(*keys), "large")
+        if level == LEVELS or large.isEmpty():
+            found.append(dealt)
             break
-        finer = F.explode(F.array(*(F.lit(_signed(m)) for m in level_masks(level, radius))))
-        rows = hot.select("t", "fp", "node", "mask", finer.alias("more")).select("t", "fp", "node", F.col("mask").bitwiseOR(F.col("more")).alias("mask")).distinct().withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-    return reduce(DataFrame.unionByName, found).distinct()
+        found.append(dealt.join(large, keys, "left_anti"))
+        hot = dealt.join(large, keys, "left_semi")
+        if level == 0 and all(first not in (0, whole) for first, whole in masks.items()):
+            finer = hot.withColumn("mask", F.try_element_at(wholes, "mask"))
+        else:
+            more = F.explode(F.array(*(F.lit(_signed(m)) for m in level_masks(level, radius))))
+            finer = hot.select("t", *columns, "mask", more.alias("more")).withColumn("mask", F.col("mask").bitwiseOR(F.col("more"))).drop("more")
+        dealt = stored(finer.withColumn("bits", bits).select(*keys, *columns).distinct(), "finer")
+    return reduce(DataFrame.unionByName, (x.select(*keys, *columns) for x in found))
+
+
+def in_turn(shards: DataFrame) -> DataFrame:
+    """Each shard's rows one after another, by fingerprint."""
+    keys = ["t", "mask", "bits"]
+    return shards.repartition(*keys).sortWithinPartitions(*keys, "fp")
+
+
+def links(nodes: DataFrame, radius: int = 2, size: int = 512, limit: int = 2048) -> DataFrame:
+    """Links (a, b) that join the nodes (node, fp: its fingerprint as a signed long, no two the same)
+    as all links within the radius do."""
+    shards = in_shards(nodes.select(F.lit(0).alias("t"), "fp", "node"), nodes.count(), radius, size, limit)
+    return in_turn(shards).mapInArrow(_searcher(radius), "a long, b long").distinct()
 
 
 def _searcher(radius: int):
@@ -260,223 +276,47 @@ def _digest(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _joined(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and u's neighbours, where u's are grouped by partial
-    sums and a common u is split by the skew join."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS at", "least(u, m) AS m")
-    return edges.join(least, F.col("u") == F.col("at"))
+def _joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each (u, v) with the least of u and u's neighbours, m; and (at, m) of each u once.  The latter
+    is stored, so that the join deals both sides out itself and a u of very many v can be split."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS at", "least(u, m) AS m"), "least")
+    return edges.join(least, F.col("u") == F.col("at")), least
 
 
 def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.selectExpr("a AS u", "b AS v").unionByName(stars.selectExpr("b AS u", "a AS v"))
-    return _joined(both).where("v > u").selectExpr("v AS a", "m AS b").where("a != b").distinct()
+    return _joined(both)[0].where("v > u").selectExpr("v AS a", "m AS b").where("a != b").distinct()
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
-    down = stars.selectExpr("a AS u", "b AS v")
-    return _joined(down).selectExpr("v AS a", "m AS b").unionByName(down.groupBy("u").agg(F.min("v").alias("b")).selectExpr("u AS a", "b")).where("a != b").distinct()
+    joined, least = _joined(stars.selectExpr("a AS u", "b AS v"))
+    return joined.selectExpr("v AS a", "m AS b").unionByName(least.selectExpr("at AS a", "m AS b")).where("a != b").distinct()
 
 
-def fingerprinted(docs: DataFrame, features: Callable[[bytes], list[bytes]], tables: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: row (a number of its own), doc_id, fps (as signed longs)."""
+def fingerprinted(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: row (a number of its own), doc_id, fp (as a signed long)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own = fingerprints(as_bytes(batch.column("text")), features, tables).view(np.int64)
-            fps = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, tables, dtype=np.int32)), pa.array(own.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fps"])
+            own = fingerprints(as_bytes(batch.column("text")), partial(shingles, width=width)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own[:, 0])], ["doc_id", "fp"])
 
-    prints = id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fps array<long>")
+    prints = id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fp long")
     return stored(prints.withColumn("row", F.monotonically_increasing_id()), "prints")
 
 
-def _classes(prints: DataFrame, radius: int, bands: int) -> DataFrame:
-    """(fps, root, component_id) of all distinct fingerprints."""
-    nodes = stored(prints.groupBy("fps").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes, radius, bands))
-    rooted = stored(nodes.join(roots, "node", "left").select("fps", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
+def _classes(prints: DataFrame, radius: int, size: int, limit: int) -> DataFrame:
+    """(fp, component_id) of all distinct fingerprints."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "nodes")
+    roots = components(links(nodes, radius, size, limit))
+    rooted = stored(nodes.join(roots, "node", "left").select("fp", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
     # stored, so that the join deals both sides out itself and can split a component of very many nodes
     least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    return rooted.join(least, "root").select("fps", "root", "component_id")
+    return rooted.join(least, "root").select("fp", "component_id")
 
 
-def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, bands: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, size: int = 512, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    prints = fingerprinted(docs, partial(shingles, width=width), 1, id_col, text_col)
-    classes = _classes(prints, radius, bands)
-    return prints.join(classes, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles."""
-    return np.array(sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, width)}), np.uint64)
-
-
-def _digest_of(own: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(own.tobytes())
-
-
-def _shards(nodes: DataFrame, radius: int, bands: int, limit: int) -> DataFrame:
-    """(t, mask, bits, fp, node, size): all shards of several nodes, as in ``links``, but nodes that
-    share a fingerprint all take part."""
-    each = nodes.select("node", "size", F.posexplode("fps").alias("t", "fp"))
-    masks = F.explode(F.array(*(F.lit(_signed(m)) for m in band_masks(bands, radius))))
-    rows = each.select("t", "fp", "node", "size", masks.alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-    keys, found = ["t", "mask", "bits"], []
-    for level in range(LEVELS + 1):
-        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.approx_count_distinct("fp").alias("kinds")).where("n > 1")
-        many = stored(rows.join(sizes, keys), "shards")
-        # what shares one fingerprint isn't split by further bits
-        hot = many.where((F.col("n") > limit) & (F.col("kinds") > 1))
-        last = level == LEVELS or hot.isEmpty()
-        found.append((many if last else many.where((F.col("n") <= limit) | (F.col("kinds") <= 1))).select(*keys, "fp", "node", "size"))
-        if last:
-            return reduce(DataFrame.unionByName, found)
-        finer = F.explode(F.array(*(F.lit(_signed(m)) for m in level_masks(level, radius))))
-        rows = hot.select("t", "fp", "node", "size", "mask", finer.alias("more")).select("t", "fp", "node", "size", F.col("mask").bitwiseOR(F.col("more")).alias("mask")).distinct().withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-
-
-def untested(members: list[tuple[int, int, int, int, set[int]]], radius: int, threshold: float, most: int) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes of one shard, within the radius, that may be linked and weren't tested.
-
-    ``members``: (fp, node, size, root, refuted); pairs with one root are linked already, and
-    ``refuted`` holds the lesser nodes that a node was tested against in vain.  With ``most`` 0 the
-    pairs only join the roots that could be joined (a forest), else a node gives ``most`` pairs.
-    """
-    tree, at, parent = BKTree(), {}, {}
-
-    def top(x: int) -> int:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    for fp, node, size, root, refuted in members:
-        given = 0
-        for k in tree.within(fp, radius):
-            for other_root, others in at[tree.values[k]].items():
-                if other_root == root or (most and given >= most) or (not most and top(root) == top(other_root)):
-                    continue
-                for other, other_size, other_refuted in others:
-                    if min(size, other_size) < threshold * max(size, other_size) or min(node, other) in (refuted if node > other else other_refuted):
-                        continue
-                    yield max(node, other), min(node, other)
-                    given += 1
-                    if not most:
-                        parent[top(root)] = top(other_root)
-                    if not most or given >= most:
-                        break
-        if fp not in at:
-            at[fp] = {}
-            tree.add(fp)
-        at[fp].setdefault(root, []).append((node, size, refuted))
-
-
-def _tester(radius: int, threshold: float, most: int):
-    """``untested`` over shards whose rows come one after another."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, out = None, [], []
-        pack = lambda pairs: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
-        for batch in batches:
-            for t, mask, bits, fp, node, size, root, refuted in zip(*(batch.column(c).to_pylist() for c in ("t", "mask", "bits", "fp", "node", "size", "root", "refuted")), strict=True):
-                if (t, mask, bits) != key:
-                    out.extend(untested(members, radius, threshold, most))
-                    key, members = (t, mask, bits), []
-                members.append((fp & 0xFFFFFFFFFFFFFFFF, node, size, root, set(refuted or ())))
-            if out:
-                yield pack(out)
-                out = []
-        out.extend(untested(members, radius, threshold, most))
-        if out:
-            yield pack(out)
-
-    return search
-
-
-def _tested(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b, linked): whether the shingle sets of the nodes' texts (row, text) are similar enough."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, limit=1 << 20):
-            sets = [shingle_set(x, width).tobytes() for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], ["row", "own"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    used = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = stored(texts.join(used, "row").select("row", "text").mapInArrow(cut, "row long, own binary"), "sets")
-    each = pairs.join(sets.selectExpr("row AS a", "own AS x"), "a").join(sets.selectExpr("row AS b", "own AS y"), "b")
-    return each.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
-
-
-def confirmed_roots(nodes: DataFrame, texts: DataFrame, radius: int, bands: int, width: int, threshold: float, limit: int = 2048) -> DataFrame | None:
-    """(node, root) of the nodes (node, fps, size) that a tested link joins to others; None if no
-    link was found.  Goes on until each pair within the radius is in one component or was refuted."""
-    shards = stored(_shards(nodes, radius, bands, limit), "all_shards")
-    keys, most = ["t", "mask", "bits"], 0
-    tests, roots = None, None
-    while True:
-        rows = shards
-        if roots is None:
-            rows = rows.withColumn("root", F.col("node"))
-        else:
-            rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if tests is None:
-            rows = rows.withColumn("refuted", F.array().cast("array<long>"))
-        else:
-            rows = rows.join(tests.where("NOT linked").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refuted")), "node", "left")
-        pairs = stored(rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_tester(radius, threshold, most), "a long, b long").distinct(), "pairs")
-        if pairs.isEmpty():
-            return roots
-        now = stored(_tested(pairs, texts, width, threshold), "tests")
-        tests = now if tests is None else tests.unionByName(now)
-        if not now.where("linked").isEmpty():
-            roots = stored(components(tests.where("linked").select("a", "b")), "confirmed")
-        most = max(4, 4 * most)
-
-
-def drop_near_duplicates(docs: DataFrame, tables: int = 8, radius: int = 3, bands: int = 5, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each component, the one with the least id, with all its columns.
-
-    Links join texts whose sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``threshold``; the fingerprints only say which texts are compared.  Texts with equal sets are
-    one node.  Of rows that repeat the least id one stays; where no member has an id, one row stays.
-    """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            texts = as_bytes(batch.column("text"))
-            own = fingerprints(texts, distinct_words, tables).view(np.int64)
-            sets = [shingle_set(x, width) for x in texts]
-            columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "fps": pa.array(own.tolist(), pa.list_(pa.int64())), "size": pa.array(list(map(len, sets)), pa.int64()), "digest": pa.array(list(map(_digest_of, sets)), pa.binary())}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, text string, fps array<long>, size long, digest binary")
-    prints = stored(rows.withColumn("row", F.monotonically_increasing_id()), "prints")
-    nodes = prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
-    nodes = stored(nodes.join(prints.selectExpr("row AS node", "fps", "size"), "node"), "nodes")
-    roots = confirmed_roots(nodes.where("size > 0"), prints, radius, bands, width, threshold)
-    rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.select("digest", "first_id", "root"), "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    kept = least.where("component_id IS NOT NULL").select(F.col("component_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    unnamed = rooted.join(least.where("component_id IS NULL"), "root").select(F.col("digest").alias("__digest"), F.col("root").alias("__root"))
-    if unnamed.isEmpty():
-        return named
-    without = docs.where(F.col(id_col).isNull()).withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "__text"):
-            yield batch.append_column("__digest", pa.array([_digest_of(shingle_set(x, width)) for x in as_bytes(batch.column("__text"))], pa.binary()))
-
-    schema = without.select("*", F.lit(b"").alias("__digest")).schema
-    one = without.mapInArrow(add, schema).join(unnamed, "__digest").dropDuplicates(["__root"])
-    return named.unionByName(one.select(*docs.columns))
+    prints = fingerprinted(docs, width, id_col, text_col)
+    classes = _classes(prints, radius, size, limit)
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

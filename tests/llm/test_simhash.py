@@ -7,7 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeframe.llm.simhash import BKTree, band_masks, components, distinct_words, drop_near_duplicates, fingerprints, forest, level_masks, links, shingles, simhash_components
+from lodeframe.llm.near_duplicates import drop_near_duplicates
+from lodeframe.llm.simhash import BKTree, components, distinct_words, fingerprints, forest, level_masks, links, shard_masks, shingles, simhash_components
 
 
 def brute_print(text):
@@ -80,17 +81,17 @@ def test_masks_leave_no_link_out():
         b = a
         for _ in range(2):
             b ^= 1 << random.randrange(64)
-        agreeing = [m for m in band_masks(6, 2) if (a ^ b) & m == 0]
-        assert agreeing and all(any((a ^ b) & f == 0 for f in level_masks(level, 2)) for level in range(3))
+        masks = shard_masks(2, 10**6, 500)
+        assert any((a ^ b) & m == 0 for m in masks.values()) and all(first & whole == first for first, whole in masks.items()) and all(any((a ^ b) & f == 0 for f in level_masks(level, 2)) for level in range(3))
 
 
 def test_links_with_hot_shards(spark):
     """A limit so small that shards are dealt out again and again."""
     values = near(1, 90, 3)
-    nodes = spark.createDataFrame([(k, [int(np.uint64(v).astype(np.int64))]) for k, v in enumerate(values)], "node long, fps array<long>")
+    nodes = spark.createDataFrame([(k, int(np.uint64(v).astype(np.int64))) for k, v in enumerate(values)], "node long, fp long")
     roots = brute_roots(values, 2)
-    for limit in (20,):
-        found = components(links(nodes, 2, 4, limit))
+    for size, limit in ((512, 20), (10, 5), (1, 512)):
+        found = components(links(nodes, 2, size, limit))
         got = {r["node"]: r["root"] for r in found.collect()}
         assert [got.get(k, k) for k in range(len(values))] == roots
 
@@ -145,3 +146,14 @@ def test_only_texts_that_share_shingles_are_dropped(spark):
             rows.append((10 * k + 1, " ".join([*words, "more"])))
     got = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [10 * k for k in range(12)]
+
+
+def test_no_text_is_lost_whatever_the_order(spark):
+    random.seed(12)
+    a, b, c = (" ".join(f"{k}{random.randrange(10**6)}" for _ in range(30)) for k in "abc")
+    for rows in ([(5, b), (5, a), (3, b), (7, c)], [(5, a), (5, b), (7, c), (3, b)]):
+        got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, a), (3, b), (7, c)])
+    rows = [(9, a), (9, b), (9, c + " more"), (9, c), (9, c)]
+    kept = [sorted((r.doc_id, r.text) for r in drop_near_duplicates(spark.createDataFrame(x, "doc_id long, text string")).collect()) for x in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
