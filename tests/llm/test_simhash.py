@@ -157,3 +157,41 @@ def test_no_text_is_lost_whatever_the_order(spark):
     rows = [(9, a), (9, b), (9, c + " more"), (9, c), (9, c)]
     kept = [sorted((r.doc_id, r.text) for r in drop_near_duplicates(spark.createDataFrame(x, "doc_id long, text string")).collect()) for x in (rows, rows[::-1])]
     assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
+def jaccard(x, y):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_groups_of_copies_that_are_alike_only_through_others(spark):
+    """Copies of two originals; most pairs of copies are below the threshold."""
+    random.seed(5)
+    rows = []
+    for g in range(2):
+        base = [f"w{random.randrange(10**6)}" for _ in range(150)]
+        rows.append((1000 * g + 500, " ".join(base)))
+        for k in range(40):
+            words = list(base)
+            for place in random.sample(range(150), 3 if k < 36 else 40):
+                words[place] = f"n{random.randrange(10**6)}"
+            rows.append((1000 * g + k, " ".join(words)))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                parent[root(i)] = root(j)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups[root(k)] = min(i, groups.get(root(k), i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # a radius at which every pair is met: only the comparisons decide
+    for dense in (0, 8, 10**6):
+        got = sorted(r.doc_id for r in drop_near_duplicates(docs, radius=24, tables=2, size=10**6, dense=dense).collect())
+        assert got == sorted(groups.values())
