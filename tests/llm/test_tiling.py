@@ -2,6 +2,7 @@
 
 import random
 
+from lodeframe.llm import tiling
 from lodeframe.llm.tiling import Index, contaminated, drop_contaminated
 
 
@@ -32,7 +33,7 @@ def test_tiles():
         if random.random() < 0.5:
             k = random.randint(0, len(item))
             text += [*item[k:], "z", *item[:k]]
-        got = list(Index([(1, " ".join(item))], 3).matches([" ".join(text).encode()], 0.0001))
+        got = list(Index([(1, " ".join(item))], 3, 0.0001).matches([" ".join(text).encode()]))
         assert (got[0][3] if got else 0) == brute(text, item, 3)
 
 
@@ -56,3 +57,29 @@ def test_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")
     assert contaminated(none, bench).count() == 0 and contaminated(odd, bench.limit(0)).count() == 0
     assert drop_contaminated(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_common_seeds_lose_no_match(monkeypatch):
+    """Nearly every seed is common here, so most are looked up only where an item needs them."""
+    monkeypatch.setattr(tiling, "HOT", 1)
+    random.seed(11)
+    phrase = [f"p{k}" for k in range(12)]
+    for _ in range(40):
+        items = []
+        for i in range(6):
+            own = [f"w{random.randrange(40)}" for _ in range(random.randint(0, 20))]
+            k = random.randint(0, len(own))
+            items.append((i, own[:k] + phrase[: random.randint(3, 12)] + own[k:]))
+        texts = []
+        for _ in range(6):
+            words = [w for i in random.choices(range(6), k=2) for w in items[i][1][random.randint(0, 6) :]]
+            texts.append(words if random.random() < 0.5 else phrase + words[:4])
+        for coverage in (0.3, 0.6, 1.0):
+            index = Index([(i, " ".join(w)) for i, w in items], 3, coverage)
+            got = {(t, i): n for t, i, _, n, _ in index.matches([" ".join(w).encode() for w in texts])}
+            sums = {(t, i): brute(text, item, 3) for t, text in enumerate(texts) for i, item in items}
+            assert got == {key: n for key, n in sums.items() if n >= coverage * len(items[key[1]][1]) and n}
+
+
+def test_bytes_that_are_not_utf8():
+    assert [m[0] for m in Index([(1, PASSAGE)], 5, 0.6).matches([b"\xff\xfe", b"\xff " + PASSAGE.encode()])] == [1]
