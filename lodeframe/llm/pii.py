@@ -4,16 +4,18 @@ Candidates of every kind come from patterns.  Those of the base kinds (email, ip
 pass their tests are spans as they are; candidates of further kinds (ssn, account, secret) become
 spans if the final classifier says so.
 
-* Labelers vote on every candidate: a strict pattern, a gazetteer, the words before it, what
-  surrounds it, and its make-up; each says yes, no or nothing.
-* Expectation-maximisation (Dawid and Skene, 1979) over the counts of vote patterns estimates how
-  often each labeler says yes to what is and to what isn't personal data, each kind's share of
-  personal data, and so each pattern's probability.
-* A logistic regression on the candidates' kind and make-up, with those probabilities as soft
-  labels, is the final span classifier.
-
-What reaches the driver are counts by kind, votes and features: at most 7 * 3**5 * 2**4 rows,
-whatever the corpus.  The candidates are written to the shared folder, so texts are read once.
+* Six labelers vote on every candidate: its form, lists of known values and prefixes, the words
+  before it, the words after it, the signs around it, and its make-up.  Each says yes, no or
+  nothing, and none repeats the test that made the candidate.
+* Expectation-maximisation (Dawid and Skene, 1979) over the counts of vote patterns estimates, for
+  each kind, how often a labeler says yes to what is and to what isn't personal data (towards
+  common values where a kind has few candidates) and the kind's share of personal data, and so
+  each pattern's probability.
+* A logistic regression on the candidates' kind, surroundings and make-up, with those probabilities
+  as soft labels, is the final span classifier.
+
+What reaches the driver are counts by kind, votes and features: at most 7 * 3**6 * 2**6 rows,
+whatever the corpus, and in practice some hundreds.  The candidates are written to the shared folder, so texts are read once.
 
 Patterns are written so that Java matches them without recursion or rescanning (possessive
 quantifiers; a run is entered at its start or where the last match ended).  Positions are running
@@ -38,7 +40,7 @@ from lodeframe.storage import stored
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ssn", "account", "secret"]
 #: Code points before and after a candidate that the labelers see.
-CONTEXT = 24
+CONTEXT = 64
 CHUNK = 512
 
 PATTERNS = {
@@ -48,23 +50,48 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "account": r"(?<![A-Za-z0-9.-])[0-9]{12,20}+(?![A-Za-z0-9.-])",
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,128}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+(?![A-Za-z0-9])",
 }
 
-#: Gazetteers.
-TOP_DOMAINS = "com org net edu gov io de fr es it uk eu us info biz dev app ai co".split()
-CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
-CARD_PREFIXES = "34 36 37 38 4 51 52 53 54 55 60 62 64 65 22 23 24 25 26 27".split()
+#: Gazetteers, what each kind's labelers look for (lower case).
+LISTED = {
+    "email": r"\.(?:com|org|net|edu|gov|io|de|fr|es|it|uk|eu|us|info|biz|dev|app|ai|co|ch|at|nl|pl|ca|au|jp)$",
+    "ip": r"^(?:1[0-9]{0,2}|2[0-4][0-9]|[3-9][0-9]?|2[0-9]?)\.",
+    "card": r"^(?:3[47]|4|5[1-5]|6011|65|2[2-7])",
+    "phone": r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "account": r"^(?!.)",
+    "secret": r"^(?:akia|asia|ghp|gho|glpat|xox[abps]|sk|pk|rk|aiza|eyj|npm|pypi)",
+}
+#: Values of documentation, tests and reserved ranges, which belong to nobody.
+NOBODY = {
+    "email": r"^(?:no-?reply|donotreply|postmaster|mailer-daemon|example|user|name|foo|bar)@|@(?:localhost|domain|test)\.",
+    "ip": r"^(?:0|127|255|22[4-9]|23[0-9])\.",
+    "card": r"^(?:4111111111111111|4242424242424242|5555555555554444|378282246310005|0)",
+    "phone": r"^\+(?:0|1234567|999)",
+    "ssn": r"^(?:123-45-6789|078-05-1120|219-09-9999|000|666|9)",
+    "account": r"^(?:97[89][0-9]{10}$|(?:19|20)[0-9]{2}[01][0-9][0-3][0-9][0-2][0-9])",
+    "secret": r"^(?:d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709)$",
+}
 CUES = {
-    "email": "mail contact write reach",
-    "ip": "ip host server address login",
-    "card": "card visa credit debit payment",
-    "phone": "phone tel call fax mobile",
+    "email": "mail e-mail email contact write reach",
+    "ip": "ip host server address login client",
+    "card": "card visa credit debit payment mastercard",
+    "phone": "phone tel call fax mobile cell",
     "ssn": "ssn social security",
-    "account": "account iban bank number customer passport card",
+    "account": "account acct iban bank customer passport beneficiary",
     "secret": "token key secret password passwd api auth bearer credential",
 }
-AGAINST = "version isbn figure page section order chapter".split()
+AGAINST = {
+    "email": "version",
+    "ip": "version release section figure",
+    "card": "isbn order serial part item",
+    "phone": "isbn version",
+    "ssn": "part item serial order isbn model",
+    "account": "order isbn serial part item timestamp population version page",
+    "secret": "commit checksum digest md5 sha1 sha256 revision build hash etag",
+}
+AFTER = {"yes": "expires|exp|valid|belongs|is my", "no": "units|items|pages|people|bytes|times|years|km|kg|usd|eur"}
 
 
 def _running(values: Column) -> Column:
@@ -108,46 +135,48 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _one_of(words: list[str]) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
+def _words(words: str) -> str:
+    return rf"\b(?:{'|'.join(words.split())})s?\b"
+
+
+def _variety(m: Column) -> Column:
+    """The number of distinct letters and digits."""
+    return F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(m), "[^a-z0-9]", ""), "")))
+
+
 def _votes(kind: str, m: Column, before: Column, after: Column) -> list[Column]:
     """What each labeler says: 1 yes, 0 no, -1 nothing."""
-    strict = {
-        "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
-        "ip": r"^[1-9][0-9]{0,2}(?:\.[0-9]{1,3}){3}$",
-        "card": r"^(?:[0-9]{14,19}|[0-9]{4}(?:[ -][0-9]{2,6}){2,4})$",
-        "phone": r"^\+[0-9]{1,3}[ (.-]*[0-9]{1,4}[) .-]*[0-9][0-9 .-]{4,}$",
-        "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-        "account": r"^[0-9]{13,19}$",
-        "secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z]).{24,})$",
+    form = {  # usual spellings, and spellings that something else has
+        "email": (r"^[A-Za-z][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", r"^[._%+-]|@[0-9.]+$"),
+        "ip": (r"^[1-9][0-9]{1,2}\.[0-9]{2,3}\.", r"(?:^|\.)0[0-9]|^(?:[0-9]\.){3}[0-9]$"),
+        "card": (r"^(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{15,16})$", r"[ -][0-9][ -]|[ -][0-9]$"),
+        "phone": (r"^\+[0-9]{1,3}[ (.-]*[0-9]{2,4}[) .-]+[0-9]", r"[.-]{2}|\([^)]*$"),
+        "ssn": (r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", r"^0"),
+        "account": (r"^(?!.)", r"^0|0000$"),
+        "secret": (r"^(?:[0-9a-f]+|[0-9A-F]+|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).+)$", r"^[A-Za-z]+[0-9]{1,4}$|^[0-9]{16,}[A-Za-z]+$"),
     }[kind]
-    gazetteer = {
-        "email": rf"\.{_one_of(TOP_DOMAINS)}$",
-        "ip": r"^(?!0\.|127\.|255\.)",
-        "card": rf"^{_one_of(CARD_PREFIXES)}",
-        "phone": rf"^\+{_one_of(CALLING_CODES)}",
-        "ssn": r"^[0-8]",
-        "account": rf"^{_one_of(CARD_PREFIXES)}",
-        "secret": r"^(?![a-z]+$)",
-    }[kind]
-    shape = m.rlike(strict)
-    listed = m.rlike(gazetteer)
-    cue = F.lower(before).rlike(rf"\b{_one_of(CUES[kind].split())}s?\b")
-    against = F.lower(before).rlike(rf"\b{_one_of(AGAINST)}s?\b")
-    apart = ~(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]"))
-    made = {"email": F.length(m) <= 64, "ip": F.length(m) <= 15, "card": _luhn(m), "phone": F.length(_digits(m)) >= 10, "ssn": shape, "account": F.length(m) == 16, "secret": F.length(m).isin(32, 40, 64)}[kind]
-    return [_vote(shape, ~shape), _vote(listed, ~listed), _vote(cue, against), _vote(apart, ~apart), _vote(made, F.lit(False))]
-
-
-def _features(m: Column, before: Column, after: Column) -> list[Column]:
-    """Yes or no on a candidate's make-up, for the final classifier."""
-    return [F.length(m) >= 16, m.rlike(r"[^A-Za-z0-9]"), before.rlike(r"[=:\"']\s*$"), F.lower(before).rlike(rf"\b{_one_of(sorted({w for c in CUES.values() for w in c.split()}))}s?\b")]
+    low, near = F.lower(m), F.lower(before)
+    varied = _variety(m)
+    digits = kind in ("ip", "card", "phone", "ssn", "account")
+    cue, against = near.rlike(_words(CUES[kind])), near.rlike(_words(AGAINST[kind]))
+    return [
+        _vote(m.rlike(form[0]) & ~m.rlike(form[1]), m.rlike(form[1])),
+        _vote(low.rlike(LISTED[kind]) & ~low.rlike(NOBODY[kind]), low.rlike(NOBODY[kind])),
+        _vote(cue & ~against, against),
+        _vote(F.lower(after).rlike(rf"^[\s,;.]*(?:{AFTER['yes']})\b"), F.lower(after).rlike(rf"^[\s,;.]*(?:{AFTER['no']})\b")),
+        _vote(before.rlike(r"[=:\"'(<\[]\s*$"), before.rlike(r"[\p{L}\p{N}_/#-]$") | after.rlike(r"^[\p{L}\p{N}_/-]")),
+        _vote(varied >= (5 if digits else 9), varied <= (2 if digits else 5)),
+    ]
+
+
+def _features(kind: str, m: Column, before: Column, after: Column) -> list[Column]:
+    """Yes or no on a candidate's surroundings and make-up, for the final classifier."""
+    near = F.lower(before)
+    return [near.rlike(_words(CUES[kind])), near.rlike(_words(AGAINST[kind])), before.rlike(r"[=:\"'(<\[]\s*$"), _variety(m) >= 9, F.length(m) >= 32, before.rlike(r"[\p{L}\p{N}_/#-]$")]
 
 
 def _cut(kind: str, text: Column) -> Column:
@@ -174,7 +203,7 @@ def _matches(held: Column) -> Column:
 def _candidate(kind: str, r: Column) -> Column:
     return F.struct(
         r["start"].cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (r["start"] + F.length(r["m"])).cast("long").alias("end"),
-        F.array(*_votes(kind, r["m"], r["before"], r["after"])).alias("votes"), F.array(*_features(r["m"], r["before"], r["after"])).alias("features"),
+        F.array(*_votes(kind, r["m"], r["before"], r["after"])).alias("votes"), F.array(*_features(kind, r["m"], r["before"], r["after"])).alias("features"),
     )
 
 
@@ -191,27 +220,33 @@ def _clip(p: float) -> float:
     return min(1 - 1e-6, max(1e-6, p))
 
 
+#: How often a labeler that speaks says yes to what is and to what isn't personal data, before any
+#: candidate was seen, and as how many candidates of a kind that counts.
+PRIOR, WEIGHT = {1: 0.8, 0: 0.2}, 4.0
+
+
 def estimate(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, tuple[int, ...]], float]:
     """The probability of personal data for each (kind, votes), from (kind, votes, count)."""
+    kinds = sorted({k for k, _, _ in patterns})
     labelers = range(len(patterns[0][1])) if patterns else range(0)
-    says = {(j, z): 0.8 if z else 0.3 for j in labelers for z in (0, 1)}  # P(yes | z, it speaks)
-    share = {k: 0.5 for k, _, _ in patterns}
+    says = {(k, j, z): PRIOR[z] for k in kinds for j in labelers for z in (0, 1)}
+    share = dict.fromkeys(kinds, 0.3)
     out: dict[tuple[int, tuple[int, ...]], float] = {}
     for _ in range(rounds):
         for k, votes, _ in patterns:
             odds = log(share[k] / (1 - share[k]))
             for j, v in enumerate(votes):
                 if v >= 0:
-                    one, none = (says[j, z] if v else 1 - says[j, z] for z in (1, 0))
+                    one, none = (says[k, j, z] if v else 1 - says[k, j, z] for z in (1, 0))
                     odds += log(one / none)
             out[k, votes] = 1 / (1 + exp(-max(-40.0, min(40.0, odds))))
-        for j in labelers:
-            for z in (0, 1):
-                spoken = [(n * (out[k, votes] if z else 1 - out[k, votes]), votes[j]) for k, votes, n in patterns if votes[j] >= 0]
-                says[j, z] = _clip((sum(w for w, v in spoken if v) + (1.6 if z else 0.6)) / (sum(w for w, _ in spoken) + 2))
-        for k in share:
-            own = [(n, out[i, votes]) for i, votes, n in patterns if i == k]
-            share[k] = _clip((sum(n * p for n, p in own) + 1) / (sum(n for n, _ in own) + 2))
+        for k in kinds:
+            own = [(n, votes, out[k, votes]) for i, votes, n in patterns if i == k]
+            for j in labelers:
+                for z in (0, 1):
+                    spoken = [(n * (p if z else 1 - p), votes[j]) for n, votes, p in own if votes[j] >= 0]
+                    says[k, j, z] = _clip((sum(w for w, v in spoken if v) + WEIGHT * PRIOR[z]) / (sum(w for w, _ in spoken) + WEIGHT))
+            share[k] = _clip((sum(n * p for n, _, p in own) + 0.3 * WEIGHT) / (sum(n for n, _, _ in own) + WEIGHT))
     return out
 
 
@@ -253,7 +288,7 @@ def _classified(found: DataFrame) -> Column:
     def condition(c: Column) -> Column:
         weight = F.element_at(F.array(*map(F.lit, kinds)), c["kind"] + 1)
         score = reduce(lambda a, i: a + F.when(F.get(c["features"], F.lit(i)), features[i]).otherwise(0.0), range(len(features)), weight)
-        return (c["kind"] < len(BASE)) | (score >= 0)
+        return (c["kind"] < len(BASE)) | (score > 0)
 
     return condition
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from lodeframe.llm.pii import estimate, mask_pii, pii_spans, train_classifier
+from lodeframe.llm.pii import _candidates, estimate, mask_pii, pii_spans, train_classifier
 
 KINDS = ["email", "ip", "card", "phone"]
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -72,3 +72,48 @@ def test_mask(spark, odd, none):
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[9] == "mail <email> or call <phone> now, ip 10.0.0.256 and <ip>" and texts[3] is None and texts[2] == ""
     assert mask_pii(none).count() == 0
+
+
+def planted(seed, n):
+    """(text, kind, is it personal data) of further kinds, both told by their surroundings only."""
+    random.seed(seed)
+    filler = lambda: " ".join(random.choice("the of river walked under many seven doors again".split()) for _ in range(random.randint(3, 9)))
+    digits = lambda k: str(random.randint(1, 9)) + "".join(random.choice("0123456789") for _ in range(k - 1))
+    hexes = lambda: "".join(random.choice("0123456789abcdef") for _ in range(40))
+    ssn = lambda: f"{random.randint(100, 665)}-{random.randint(10, 99)}-{random.randint(1000, 9999)}"
+    forms = {
+        "secret": ([lambda: f'token = "{hexes()}"', lambda: f"api key: {hexes()}", lambda: f"the password is {hexes()} for now"], [lambda: f"commit {hexes()} was merged", lambda: f"checksum/{hexes()} of it"]),
+        "account": ([lambda: f"account: {digits(13)}", lambda: f"bank account {digits(12)} is my own"], [lambda: f"order {digits(13)} items", lambda: f"{digits(13)} people", lambda: digits(13)]),
+        "ssn": ([lambda: f"ssn: {ssn()}", lambda: f"social security {ssn()}"], [lambda: f"part {ssn()} units", lambda: f"serial #{ssn()}"]),
+    }
+    for _ in range(n):
+        kind = random.choice(list(forms))
+        good = random.random() < 0.5
+        yield f"{filler()} {random.choice(forms[kind][not good])()} {filler()}", kind, good
+
+
+def test_precision_and_recall_on_planted_data(spark):
+    rows = [(k, *x) for k, x in enumerate(planted(4, 900))]
+    got = {r.doc_id: r.spans for r in pii_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for kind in ("secret", "account", "ssn"):
+        said = {i for i, _, k, _ in rows if k == kind and f"{kind}:" in got[i]}
+        true = {i for i, _, k, good in rows if k == kind and good}
+        assert len(said & true) >= 0.95 * len(said) and len(said & true) >= 0.95 * len(true), kind
+
+
+def test_each_labeler_says_yes_no_and_nothing(spark):
+    texts = [t for t, _, _ in planted(4, 900)] + ['key "ghp0aB1cD2eF3gH4iJ5kL6mN7oP8q" expires', "token=aaaa1111aaaa1111aaaa1111aaaa units", "x/d41d8cd98f00b204e9800998ecf8427e bytes", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa12"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string")
+    votes = [r.v for r in _candidates(found).selectExpr("explode(found) AS c").selectExpr("c.votes AS v").collect()]
+    for j in range(6):
+        assert {v[j] for v in votes} == {-1, 0, 1}, j
+
+
+def test_a_long_secret(spark):
+    key = "".join(random.choice("0123456789abcdef") for _ in range(4000))
+    rows = [(k, f'token = "{k:04d}{key}" set') for k in range(20)]
+    assert all(r.spans == "secret:9:4013" for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_columns_with_clashing_names(odd):
+    assert pii_spans(odd).count() == odd.count() and pii_spans(odd).columns[0] == "doc_id"
