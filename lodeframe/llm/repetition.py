@@ -118,7 +118,7 @@ def measures(texts: list[bytes], window: int = 8) -> dict[str, np.ndarray]:
     n_words = np.fromiter(map(len, words), np.int64, len(words))
     offsets = np.concatenate([[0], np.cumsum(n_words)])
     symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.int64)
-    chars_of = np.fromiter((len(w.decode()) for w in numbers), np.int64, len(numbers))
+    chars_of = np.fromiter((len(w.decode(errors="replace")) for w in numbers), np.int64, len(numbers))
     chars = chars_of[symbols] if len(symbols) else symbols
     inside, longest = repeats(symbols, offsets, window)
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]

@@ -5,14 +5,16 @@ order.  It is dealt out as shards, one Arrow IPC file each: record batches of ``
 a column ``ids`` of fixed-size lists of ``length`` unsigned integers (16 bits if the vocabulary
 allows, else 32) and a column ``mask`` of fixed-size lists of booleans (false: padding, at the
 end of a shard's last sequence only).  Buffers are not compressed, so a memory-mapped file gives
-any sequence as a view, at an offset that follows from its number.  Beside each shard lies
-``*.docs.arrow`` with its documents' ids, starts within the shard and lengths.
+any sequence as a view, at an offset that follows from its number; so is a mask's packed bits.  A task goes on in a further shard once one holds ``shard_ids`` ids.  Beside each shard lies
+``*.docs.arrow`` with its documents' ids, starts within the shard and lengths, written and read
+in batches; a document is in one shard.
 
 A task writes to a name of its own and then renames, so a task that runs twice, or is lost half
 way, leaves no partial shard.  Shards go to a folder that the driver and all executors share.
 
 Cases: null text counts as empty and still gets its end id; rows without an id come first;
-repeated rows (and ties on doc_id) each have their own ids, ordered by text; an empty table
+repeated rows (and ties on doc_id) each have their own ids, ordered by a hash of the text, then
+text; bytes that aren't UTF-8 count as the replacement character; an empty table
 gives no shard and no rows; other columns are ignored.
 """
 
@@ -36,6 +38,8 @@ from lodeframe.storage import publish, shared_path
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 #: Sequences in a record batch.
 ROWS = 256
+#: Ids after which a task begins a further shard.
+SHARD_IDS = 1 << 27
 
 
 def encoded(texts: list[bytes], tokenizer: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,44 @@ def encoded(texts: list[bytes], tokenizer: str, end_id: int) -> tuple[np.ndarray
     return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int]]:
+class _Shard:
+    """A shard that is being written, with its index beside it."""
+
+    def __init__(self, folder: str, number: int, own: str, length: int, schema: pa.Schema, end_id: int):
+        self.fs, root = pafs.FileSystem.from_uri(folder)
+        self.fs.create_dir(root, recursive=True)
+        self.number, self.own, self.name = number, own, f"{root}/shard-{number:012d}"
+        self.length, self.schema, self.end_id = length, schema, end_id
+        self.sinks = [self.fs.open_output_stream(f"{self.name}{x}{own}") for x in ("", ".docs")]
+        self.out, self.docs = pa.ipc.new_file(self.sinks[0], schema), pa.ipc.new_file(self.sinks[1], DOCS)
+        self.n_ids, self.rest = 0, np.zeros(0, np.uint32)
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.docs.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(self.n_ids + np.cumsum(lengths) - lengths), pa.array(lengths)], schema=DOCS))
+        self.n_ids += len(ids)
+        self.rest = np.concatenate([self.rest, ids])
+        size = ROWS * self.length
+        whole = len(self.rest) // size * size
+        for k in range(0, whole, size):
+            self._write(self.rest[k : k + size], size)
+        self.rest = self.rest[whole:]
+
+    def _write(self, flat: np.ndarray, valid: int) -> None:
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(flat.astype(self.schema.field("ids").type.value_type.to_pandas_dtype())), self.length)
+        mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(flat)) < valid), self.length)
+        self.out.write_batch(pa.RecordBatch.from_arrays([ids, mask], schema=self.schema))
+
+    def closed(self) -> pa.RecordBatch:
+        if len(self.rest):
+            self._write(np.pad(self.rest, (0, -len(self.rest) % self.length), constant_values=self.end_id), len(self.rest))
+        for x in (self.out, self.docs, *self.sinks):
+            x.close()
+        for x in (".docs", ""):
+            publish(self.fs, f"{self.name}{x}{self.own}", f"{self.name}{x}.arrow")
+        return pa.RecordBatch.from_pydict({"shard": [self.number], "n_ids": [self.n_ids]})
+
+
+def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> list[tuple[int, int]]:
     """Write all documents' ids below ``folder``; returns (shard, number of ids) in order.
 
     What reaches the driver is one number per shard.
@@ -62,38 +103,24 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     value = pa.uint16() if small else pa.uint32()
     schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
 
-    def to_batch(flat: np.ndarray, valid: int) -> pa.RecordBatch:
-        mask = np.arange(len(flat)) < valid
-        ids = pa.FixedSizeListArray.from_arrays(pa.array(flat.astype(np.uint16 if small else np.uint32)), length)
-        return pa.RecordBatch.from_arrays([ids, pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
         context = TaskContext.get()
-        shard, own = context.partitionId(), f".attempt-{context.taskAttemptId()}"
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        name = f"{root}/shard-{shard:07d}"
-        done, rest, index = 0, np.zeros(0, np.uint32), []
-        with fs.open_output_stream(f"{name}{own}") as sink, pa.ipc.new_file(sink, schema) as out:
-            for batch in sliced(chain([first], batches), limit=4 << 20):
-                ids, lengths = encoded(as_bytes(batch.column("text")), tokenizer, end_id)
-                index.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(done + len(rest) + np.cumsum(lengths) - lengths), pa.array(lengths)], schema=DOCS))
-                rest = np.concatenate([rest, ids])
-                whole = len(rest) // (ROWS * length) * (ROWS * length)
-                for k in range(0, whole, ROWS * length):
-                    out.write_batch(to_batch(rest[k : k + ROWS * length], ROWS * length))
-                done, rest = done + whole, rest[whole:]
-            if len(rest):
-                out.write_batch(to_batch(np.pad(rest, (0, -len(rest) % length), constant_values=end_id), len(rest)))
-        with fs.open_output_stream(f"{name}.docs{own}") as sink, pa.ipc.new_file(sink, DOCS) as out:
-            for x in index:
-                out.write_batch(x)
-        publish(fs, f"{name}.docs{own}", f"{name}.docs.arrow")
-        publish(fs, f"{name}{own}", f"{name}.arrow")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_ids": [done + len(rest)]})
+        number, own = context.partitionId() << 20, f".attempt-{context.taskAttemptId()}"
+        shard = None
+        for batch in sliced(batches, limit=4 << 20):
+            ids, lengths = encoded(as_bytes(batch.column("text")), tokenizer, end_id)
+            ends, first = np.cumsum(lengths), 0
+            while first < len(lengths):
+                shard = shard or _Shard(folder, number, own, length, schema, end_id)
+                start = ends[first] - lengths[first]
+                last = min(len(lengths), first + 1 + int(np.searchsorted(ends[first:], start + shard_ids - shard.n_ids)))
+                shard.add(batch.column("doc_id").slice(first, last - first), ids[start : ends[last - 1]], lengths[first:last])
+                first = last
+                if shard.n_ids >= shard_ids:
+                    yield shard.closed()
+                    shard, number = None, number + 1
+        if shard:
+            yield shard.closed()
 
     rows = id_and_text(docs, id_col, text_col)
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -107,24 +134,45 @@ class Sequences:
 
     def __init__(self, folder: str, shard: int, length: int):
         fs, root = pafs.FileSystem.from_uri(folder)
-        name = f"{root}/shard-{shard:07d}"
+        name = f"{root}/shard-{shard:012d}"
         local = isinstance(fs, pafs.LocalFileSystem)
         self.source = pa.memory_map(f"{name}.arrow") if local else fs.open_input_file(f"{name}.arrow")
         self.file = pa.ipc.open_file(self.source)
-        with fs.open_input_file(f"{name}.docs.arrow") as f:
-            self.docs = pa.ipc.open_file(f).read_all()
-        self.length, self.kept = length, (-1, None)
+        self.docs = pa.ipc.open_file(fs.open_input_file(f"{name}.docs.arrow"))
+        self.length, self.kept = length, (-1, None, None)
 
-    def _ids(self, k: int) -> np.ndarray:
+    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the packed mask bits of batch ``k``, as views."""
         if self.kept[0] != k:
-            self.kept = k, self.file.get_batch(k).column("ids").flatten().to_numpy()
-        return self.kept[1]
+            batch = self.file.get_batch(k)
+            # a batch is a message of its own, so its bits begin at a whole byte
+            bits = np.frombuffer(batch.column("mask").flatten().buffers()[1], np.uint8)[: -(-batch.num_rows * self.length // 8)]
+            self.kept = k, batch.column("ids").flatten().to_numpy(zero_copy_only=True), bits
+        return self.kept[1:]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence ``i`` of the shard, a view of the file, and its mask."""
+        """Sequence ``i`` of the shard, a view of the file, and its mask, spelled out."""
         k, j = divmod(i, ROWS)
-        mask = self.file.get_batch(k).column("mask")[j].as_py()
-        return self._ids(k)[j * self.length : (j + 1) * self.length], np.asarray(mask)
+        ids, bits = self._batch(k)
+        first, last = j * self.length, (j + 1) * self.length
+        mask = np.unpackbits(bits[first // 8 : -(-last // 8)], bitorder="little")[first % 8 :][: self.length]
+        return ids[first:last], mask.astype(bool)
+
+    def mask_bits(self, i: int) -> np.ndarray:
+        """The mask of sequence ``i`` as a view of the file, eight bits in a byte, the first lowest; for
+        lengths that are multiples of 8."""
+        if self.length % 8:
+            raise ValueError("masks begin at whole bytes only if the length is a multiple of 8")
+        k, j = divmod(i, ROWS)
+        return self._batch(k)[1][j * self.length // 8 : (j + 1) * self.length // 8]
+
+    def valid(self) -> int:
+        """The number of ids that the masks call valid."""
+        total = 0
+        for k in range(self.file.num_record_batches):
+            ids, bits = self._batch(k)
+            total += int(np.unpackbits(bits, count=len(ids), bitorder="little").sum())
+        return total
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """The ids from ``start`` to ``end`` (exclusive) within the shard."""
@@ -132,7 +180,7 @@ class Sequences:
         while start < end:
             k, j = divmod(start, size)
             n = min(end - start, size - j)
-            parts.append(self._ids(k)[j : j + n])
+            parts.append(self._batch(k)[0][j : j + n])
             start += n
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
@@ -142,13 +190,15 @@ def read_sequences(spark: SparkSession, folder: str, shards: list[tuple[int, int
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not shards:
         return spark.createDataFrame([], schema)
-    numbers = [k for k, _ in shards]
+    numbers, sizes_of = zip(*shards, strict=True)
     before = np.cumsum([0] + [n for _, n in shards]).tolist()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (k for batch in batches for k in batch.column(0).to_pylist()):
             shard = Sequences(folder, numbers[k], length)
-            for part in shard.docs.to_batches(max_chunksize=10_000):
+            if shard.valid() != sizes_of[k]:
+                raise ValueError(f"shard {numbers[k]} has masks of other lengths than its ids")
+            for part in (shard.docs.get_batch(i) for i in range(shard.docs.num_record_batches)):
                 starts, sizes = (np.asarray(part.column(c)) for c in ("start", "n_tokens"))
                 crcs = [zlib.crc32(shard.ids(s, s + n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts + before[k]), part.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

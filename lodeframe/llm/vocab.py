@@ -7,6 +7,8 @@ its pre-tokens' ids in a row:
 * a tokenizer that collapses white space and keeps only the matches of a pattern that never
   match white space (word_bpe_49k) never joins characters across it: its pre-tokens are words;
 * for any other file the whole text is the one pre-token.
+
+Bytes that aren't UTF-8 count as the replacement character.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from itertools import chain
 
 import numpy as np
 
+from lodeframe.llm.texts import sums_by
+
 #: Distinct pre-tokens whose ids a worker remembers; beyond it forgets all of them and goes on.
 REMEMBERED = 1_200_000
 
@@ -66,7 +70,7 @@ def pre_tokens(path: str):
 
 
 def _encodings(path: str, tokens: list[bytes]) -> list[list[int]]:
-    texts = [t.decode() for t in tokens]
+    texts = [t.decode(errors="replace") for t in tokens]
     if path.endswith(".model"):
         return _library(path).encode(texts, num_threads=1)
     return [e.ids for e in _library(path).encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,7 +106,7 @@ def encode(path: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         _library(path).no_padding()
     counts = np.zeros(len(tokens), np.int64)
     ends = _ends(path) if drops_white_space(path) else None
-    plain = [k for k, t in enumerate(tokens) if t.isalpha() or t.decode().isalpha()] if ends is not None else []
+    plain = [k for k, t in enumerate(tokens) if t.isalpha() or t.decode(errors="replace").isalpha()] if ends is not None else []
     parts: list[np.ndarray] = []
     order: list[np.ndarray] = []
     for a in range(0, len(plain), JOINED):
@@ -195,3 +199,14 @@ def remembered(path: str) -> Remembered:
 def vocabulary_size(path: str) -> int:
     library = _library(path)
     return library.get_piece_size() if path.endswith(".model") else library.get_vocab_size(with_added_tokens=True)
+
+
+def lengths(path: str, texts: list[bytes]) -> np.ndarray:
+    """The number of ids of each text, without any added."""
+    cut = pre_tokens(path)
+    pieces = [cut(t) for t in texts]
+    known = remembered(path)
+    known.learn(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    which = np.fromiter(map(known.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+    return sums_by(known.counts[which], np.concatenate([[0], np.cumsum(sizes)]))

@@ -10,7 +10,7 @@ from conftest import TEXTS  # noqa: F401
 from tokenizers import Tokenizer
 
 from lodeframe.llm import vocab
-from lodeframe.llm.sequence_files import Sequences, encoded, sequence_digest, write_sequences
+from lodeframe.llm.sequence_files import Sequences, encoded, read_sequences, sequence_digest, write_sequences
 from lodeframe.llm.token_counts import token_counts
 from lodeframe.storage import shared_path
 
@@ -76,3 +76,25 @@ def test_random_access_and_masks(spark, odd):
             flat += ids.tolist()
             valid += int(mask.sum())
         assert valid == n and flat[:n] == opened.ids(0, n).tolist()
+
+
+def test_many_shards_and_views(spark, odd):
+    folder = shared_path(spark, "sequences")
+    shards = write_sequences(odd, folder, WORDS, length=16, shard_ids=50)
+    assert len(shards) > 3
+    for shard, n in shards:
+        opened = Sequences(folder, shard, 16)
+        assert opened.valid() == n
+        ids, mask = opened.sequence(0)
+        assert not ids.flags.owndata and not opened.mask_bits(0).flags.owndata and not opened.mask_bits(0).flags.writeable
+        assert (np.unpackbits(opened.mask_bits(0), bitorder="little").astype(bool) == mask).all()
+    whole = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in sequence_digest(odd, WORDS).collect()]
+    parts = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_sequences(spark, folder, shards, 16).collect()]
+    assert sorted(map(str, whole)) == sorted(map(str, parts))
+
+
+def test_bytes_that_are_not_utf8():
+    texts = [b"\xff\xfe word", b"w\xc3", b"ok"]
+    library = Tokenizer.from_file(WORDS)
+    wanted = [len(library.encode(t.decode(errors="replace"), add_special_tokens=False).ids) for t in texts]
+    assert vocab.lengths(WORDS, texts).tolist() == wanted and (encoded(texts, WORDS, 1)[1] - 1).tolist() == wanted
