@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-A document is its words and an end token; one of more than ``max_length`` tokens is cut into
+A document is a tokenizer's tokens (or its words, where no tokenizer is named) and an end token; one of more than ``max_length`` tokens is cut into
 sequences of that length and a rest, so nothing is dropped.  A histogram of the lengths of all
 sequences (at most ``max_length`` bins, whatever the corpus) is gathered, and dynamic programming
 chooses the ``n_buckets`` bucket bounds for which padding every sequence to its bucket's bound
@@ -17,11 +17,15 @@ repeated sequences; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.texts import id_and_text
+from lodeframe.llm import vocab
+from lodeframe.llm.texts import as_bytes, id_and_text, sliced
 from lodeframe.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,21 +65,34 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> li
     return bounds[::-1]
 
 
-def sequences(docs: DataFrame, max_length: int, id_col: str, text_col: str) -> DataFrame:
+def sized(docs: DataFrame, tokenizer: str | None, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, size) of every document, its end counted."""
+    rows = id_and_text(docs, id_col, text_col)
+    if tokenizer is None:
+        return rows.select("doc_id", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long").alias("size"))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            n = vocab.lengths(tokenizer, as_bytes(batch.column("text"))) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "size"])
+
+    return rows.mapInArrow(measured, "doc_id long, size long")
+
+
+def sequences(docs: DataFrame, tokenizer: str | None, max_length: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, part, start, n_tokens) of every sequence."""
-    sized = id_and_text(docs, id_col, text_col).select("doc_id", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long").alias("size"))
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {max_length}")))
-    return sized.select("doc_id", "size", parts.alias("part")).select(
+    return sized(docs, tokenizer, id_col, text_col).select("doc_id", "size", parts.alias("part")).select(
         "doc_id", "part", (F.col("part") * max_length).alias("start"), F.least(F.lit(max_length).cast("long"), F.col("size") - F.col("part") * max_length).alias("n_tokens")
     )
 
 
-def pack(docs: DataFrame, n_buckets: int = 16, max_length: int = 2048, token_budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, n_buckets: int = 16, max_length: int = 2048, token_budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sequence: doc_id, part, start and n_tokens within the document, its bucket's
     length, batch and slot in the batch."""
     if token_budget < max_length:
         raise ValueError("a batch must hold the longest sequence")
-    numbered = stored(sequences(docs, max_length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sequences")
+    numbered = stored(sequences(docs, tokenizer, max_length, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sequences")
     histogram = sorted((r["n_tokens"], r["n"]) for r in numbered.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
     lengths, counts = np.array([x for x, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
     bounds = bucket_bounds(lengths, counts, n_buckets) or [max_length]

@@ -41,7 +41,7 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.packing import pack
 
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

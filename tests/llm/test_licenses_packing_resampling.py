@@ -6,10 +6,13 @@ import random
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pytest
 
 from lodeframe.llm.licenses import TEMPLATES, license_scan, oracle_sql, signature, template_bigrams
 from lodeframe.llm.packing import bucket_bounds, pack
 from lodeframe.llm.resampling import importance_resample
+from tokenizers import Tokenizer
 
 
 def test_license_scan_equals_sql_without_pruning(spark, odd, none):
@@ -49,20 +52,26 @@ def test_bounds_are_optimal():
     assert bucket_bounds(np.zeros(0, np.int64), np.zeros(0, np.int64), 3) == []
 
 
-def test_pack(odd, none):
-    rows = pack(odd, n_buckets=3, max_length=16, token_budget=64).collect()
-    sizes = sorted((str(r.doc_id), len((r.text or "").split()) + 1) for r in odd.collect())
+@pytest.mark.parametrize("tokenizer", [None, public_tokenizers.path("word_bpe_49k.json")])
+def test_pack(odd, none, tokenizer):
+    count = (lambda t: len(t.split())) if tokenizer is None else (lambda t: len(Tokenizer.from_file(tokenizer).encode(t, add_special_tokens=False).ids))
+    rows = pack(odd, tokenizer, n_buckets=3, max_length=16, token_budget=64).collect()
+    sizes = sorted((str(r.doc_id), count(r.text or "") + 1) for r in odd.collect())
     total = {}
     for r in rows:
         total[str(r.doc_id)] = total.get(str(r.doc_id), 0) + r.n_tokens
         assert r.n_tokens <= min(r.bucket_length, 16) and r.slot < 64 // r.bucket_length
-    assert sum(total.values()) == sum(n for _, n in sizes) and len({r.bucket_length for r in rows}) <= 3
+    wanted = {}
+    for i, n in sizes:
+        wanted[i] = wanted.get(i, 0) + n
+    assert total == wanted
+    assert len({r.bucket_length for r in rows}) <= 3
     places = [(r.bucket_length, r.batch, r.slot) for r in rows]
     assert len(set(places)) == len(places)
     for length in {p[0] for p in places}:  # only the last batch may be short
         own = sorted(b * (64 // length) + s for n, b, s in places if n == length)
         assert own == list(range(len(own)))
-    assert pack(none).count() == 0
+    assert pack(none, tokenizer).count() == 0
 
 
 def test_resampling(spark, odd, none):
