@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -33,6 +34,25 @@ def test_license_scan_equals_sql_without_pruning(spark, odd, none):
     assert license_scan(none).count() == 0
 
 
+def test_whole_licences_and_headers_above_code_are_found(spark):
+    code = "\n" + "\n".join(f"int f{k}(int x) {{ return x + {k}; }}" for k in range(60))
+    comment = lambda text: "\n".join("# " + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    clauses = lambda text: re.sub(r" (?=(?:[123]\\. |THIS SOFTWARE))", "\n\n", text)
+    rows = [(name, "Copyright (c) 2020 A. Body\n\n" + clauses(TEMPLATES[name]) + "\n\nfurther text " * 50) for name in TEMPLATES if name.endswith(("-full", "-text"))]
+    rows += [(name, comment(TEMPLATES[name]) + code) for name in ("Apache-2.0-header", "GPL-3.0-or-later", "LGPL-3.0-or-later", "MPL-2.0")]
+    rows += [("GPL-3.0-or-later", TEMPLATES["GPL-3.0-or-later"].replace(" ", "\n ") + " word" * 200), ("MIT-notice", "Some words first. Released under the MIT License. And some after it, in one line."), ("All-rights-reserved", "(c) 2020 somebody\nAll rights reserved.\nmore")]
+    got = license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    for k, (name, _) in enumerate(rows):
+        assert name in {r.license for r in got if r.doc_id == k}, name
+
+
+def test_clashing_columns_and_ties(spark, odd):
+    assert license_scan(odd).columns == ["doc_id", "kind", "number", "license", "dice"]
+    same = {"B": "one two three four", "A": "one two three four"}
+    got = license_scan(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string"), same).collect()
+    assert sorted((r.kind, r.license) for r in got) == [("line", "A"), ("window", "A"), ("window", "B")]
+
+
 def test_signatures_meet_more_bigrams_than_may_lack():
     for text in TEMPLATES.values():
         bigrams = template_bigrams(text)
