@@ -17,15 +17,12 @@ repeated sequences; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm import vocab
-from lodeframe.llm.texts import as_bytes, id_and_text, sliced
+from lodeframe.llm.texts import id_and_text
+from lodeframe.llm.token_counts import token_counts
 from lodeframe.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,16 +64,9 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> li
 
 def sized(docs: DataFrame, tokenizer: str | None, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, size) of every document, its end counted."""
-    rows = id_and_text(docs, id_col, text_col)
-    if tokenizer is None:
-        return rows.select("doc_id", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long").alias("size"))
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            n = vocab.lengths(tokenizer, as_bytes(batch.column("text"))) + 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "size"])
-
-    return rows.mapInArrow(measured, "doc_id long, size long")
+    if tokenizer is not None:
+        return token_counts(docs, tokenizer, id_col=id_col, text_col=text_col).select("doc_id", (F.col("n_tokens") + 1).alias("size"))
+    return id_and_text(docs, id_col, text_col).select("doc_id", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long").alias("size"))
 
 
 def sequences(docs: DataFrame, tokenizer: str | None, max_length: int, id_col: str, text_col: str) -> DataFrame:
