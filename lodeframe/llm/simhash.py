@@ -227,7 +227,7 @@ def in_turn(shards: DataFrame) -> DataFrame:
     return shards.repartition(*keys).sortWithinPartitions(*keys, "fp")
 
 
-def links(nodes: DataFrame, radius: int = 2, size: int = 512, limit: int = 2048) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 2, size: int = 128, limit: int = 1024) -> DataFrame:
     """Links (a, b) that join the nodes (node, fp: its fingerprint as a signed long, no two the same)
     as all links within the radius do."""
     shards = in_shards(nodes.select(F.lit(0).alias("t"), "fp", "node"), nodes.count(), radius, size, limit)
@@ -315,7 +315,7 @@ def _classes(prints: DataFrame, radius: int, size: int, limit: int) -> DataFrame
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, size: int = 512, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, size: int = 128, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     prints = fingerprinted(docs, width, id_col, text_col)
     classes = _classes(prints, radius, size, limit)
