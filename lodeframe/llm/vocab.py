@@ -21,8 +21,6 @@ from itertools import chain
 
 import numpy as np
 
-from lodeframe.llm.texts import sums_by
-
 #: Distinct pre-tokens whose ids a worker remembers; beyond it forgets all of them and goes on.
 REMEMBERED = 1_200_000
 
@@ -199,14 +197,3 @@ def remembered(path: str) -> Remembered:
 def vocabulary_size(path: str) -> int:
     library = _library(path)
     return library.get_piece_size() if path.endswith(".model") else library.get_vocab_size(with_added_tokens=True)
-
-
-def lengths(path: str, texts: list[bytes]) -> np.ndarray:
-    """The number of ids of each text, without any added."""
-    cut = pre_tokens(path)
-    pieces = [cut(t) for t in texts]
-    known = remembered(path)
-    known.learn(pieces)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    which = np.fromiter(map(known.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
-    return sums_by(known.counts[which], np.concatenate([[0], np.cumsum(sizes)]))
