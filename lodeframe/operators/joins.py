@@ -6,23 +6,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = True, width: float | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of the same key that is earlier (or
     as early, if not ``strict``); nulls where there is none.
 
-    Both sides are laid over each other and the last right row is carried along each key's time
-    line: one shuffle, linear in the rows, where a join would meet all pairs of a key.
+    Both sides are laid over each other and the last right row is carried along: one shuffle, linear
+    in the rows, where a join would meet all pairs of a key.  With ``width`` (of numbers, or of
+    seconds for times) time lines are cut into bins of a key, each of which starts with the last
+    right row of the bins before, so that a common key isn't one task's.
     """
     struct = F.struct(F.col(right_ts).alias("__at"), *values)
     # at equal times a strict join sees the left row first
     lefts = left.select(*[F.col(c) for c in left.columns], F.col(left_ts).alias("__ts"), F.lit(0 if strict else 1).alias("__side"))
     rights = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(1 if strict else 0).alias("__side"), struct.alias("__right"))
-    both = lefts.unionByName(rights, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, -1)
+    both, keys = lefts.unionByName(rights, allowMissingColumns=True), list(by)
+    if width is not None:
+        both, keys = both.withColumn("__bin", time_bin("__ts", width)), [*by, "__bin"]
+        last = rights.withColumn("__bin", time_bin("__ts", width)).groupBy(*keys).agg(F.max_by("__right", "__ts").alias("__last"))
+        # one row of a key and bin at most, far fewer than rows
+        bins = both.select(*keys).distinct().join(last, keys, "left")
+        ahead = bins.withColumn("__carried", F.last("__last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "__carried")
+        both = both.join(ahead, keys)
+    w = Window.partitionBy(*keys).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("__last", F.last("__right", ignorenulls=True).over(w)).where(F.col("__side") == (0 if strict else 1))
+    if width is not None:
+        found = found.withColumn("__last", F.coalesce("__last", "__carried"))
     return found.select(*left.columns, F.col("__last.__at").alias(f"{right_ts}_matched"), *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
+def time_bin(column: str, width: float):
+    """The bin of a time (or number) by its seconds."""
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / (width * 1e6)).alias("__bin")
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
+    """Pairs (a, b: structs of the sides' rows) of one key in which b comes after a, by ``seconds``
+    at most.  A right row is dealt to its bin of that width and a left one to its own and the next,
+    so rows of a key meet only if they are near."""
+    own = time_bin(ts, seconds)
+    a = left.select(F.col(by).alias("__key"), F.struct("*").alias("a"), F.explode(F.array(own, own + 1)).alias("__bin"))
+    b = right.select(F.col(by).alias("__key"), F.struct("*").alias("b"), own.alias("__bin"))
+    near = (F.col(f"b.{ts}") > F.col(f"a.{ts}")) & (F.col(f"b.{ts}") <= F.col(f"a.{ts}") + F.make_dt_interval(secs=F.lit(seconds)))
+    return a.join(b, ["__key", "__bin"]).where(near).select("a", "b")
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Points within [low, high].  A range is dealt to every bin of ``width`` that it meets and a
     point to its own, so the join is one on equal bins instead of a nested loop."""

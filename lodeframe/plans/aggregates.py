@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.statistics import sample_skewness
+from lodeframe.operators.ranks import quantile
 from lodeframe.plans.registry import query, table
 
 
@@ -36,13 +37,28 @@ def agg_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, median(l_quantity) AS med, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_disc(l_quantity, 0.25) AS q25 FROM lineitem GROUP BY 1")
 def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("med"), F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p90"), F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity)").alias("q25"))
+    """Of three groups: by counts of values in bins, so that no task holds a group's values."""
+    items = table(spark, sf_dir, "lineitem")
+    parts = [quantile(items, "l_returnflag", c, p, continuous).withColumnRenamed("quantile", name) for name, c, p, continuous in (("med", "l_quantity", 0.5, True), ("p90", "l_extendedprice", 0.9, True), ("q25", "l_quantity", 0.25, False))]
+    return parts[0].join(parts[1], "l_returnflag").join(parts[2], "l_returnflag")
 
 
-@query("SELECT event_type, mode(k)::BIGINT AS mode_k FROM (SELECT event_type, (event_id * event_id) % 5 AS k FROM events WHERE (event_id * event_id) % 5 IN (0, 1)) GROUP BY 1")
+@query("SELECT o_custkey, median(o_totalprice) AS med, quantile_disc(o_totalprice, 0.25) AS q25 FROM orders GROUP BY 1")
+def agg_percentiles_of_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.median("o_totalprice").alias("med"), F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice)").alias("q25"))
+
+
+@query("SELECT event_type, k AS mode_k FROM (SELECT event_type, k, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, k) AS r FROM (SELECT event_type, (event_id * event_id) % 5 AS k FROM events) GROUP BY 1, 2) WHERE r = 1")
 def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent value, of equally frequent ones the least."""
     k = (F.col("event_id") * F.col("event_id")) % 5
-    return table(spark, sf_dir, "events").withColumn("k", k).where("k IN (0, 1)").groupBy("event_type").agg(F.mode("k").alias("mode_k"))
+    counts = table(spark, sf_dir, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+    return counts.groupBy("event_type").agg(F.min_by("k", F.struct(-F.col("n"), "k")).alias("mode_k"))
+
+
+@query("SELECT c_nationkey::BIGINT AS c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer GROUP BY 1")
+def agg_collect_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("c_nationkey")).agg(F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ",").alias("segments"))
 
 
 @query("SELECT o_custkey, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_totalprice > 300000) AS any_one, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1")

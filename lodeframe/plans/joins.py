@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.operators.joins import asof_join, range_join, salted_join
+from lodeframe.operators.joins import asof_join, interval_join, range_join, salted_join
 from lodeframe.plans.registry import query, table
 
 
@@ -55,9 +55,8 @@ def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (table(spark, sf_dir, "events").select("event_id", "user_id", "ts").alias(x) for x in "ab")
-    near = F.expr("a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
-    return a.join(b, near).select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return interval_join(events, events, "user_id", "ts", 3600).select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"))
 
 
 @query("""SELECT a.event_id, a.user_id, b.ts AS ts_matched, b.value FROM (SELECT * FROM events WHERE event_type = 'purchase') a
@@ -65,7 +64,7 @@ def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return asof_join(left, events.where("event_type = 'click'"), ["user_id"], "ts", "ts", ["value"]).select("event_id", "user_id", "ts_matched", "value")
+    return asof_join(left, events.where("event_type = 'click'"), ["user_id"], "ts", "ts", ["value"], width=86_400).select("event_id", "user_id", "ts_matched", "value")
 
 
 @query("SELECT p_partkey, lo, p_retailprice FROM part JOIN (SELECT (i * 100)::DOUBLE AS lo, (i * 100 + 130)::DOUBLE AS hi FROM range(0, 30) AS r(i)) ON p_retailprice BETWEEN lo AND hi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.operators.topk import top_k_per_group
@@ -19,18 +19,21 @@ def sort_top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer ORDER BY segment ASC NULLS LAST, c_custkey LIMIT 50")
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, row_number() OVER (PARTITION BY c_nationkey ORDER BY nullif(c_mktsegment, 'BUILDING') ASC NULLS LAST, c_custkey) AS place FROM customer")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment")).orderBy(F.asc_nulls_last("segment"), "c_custkey").limit(50)
+    """All customers, with their places in their nations' orders, nulls last."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    w = Window.partitionBy("c_nationkey").orderBy(F.asc_nulls_last("segment"), "c_custkey")
+    return rows.select("c_custkey", "segment", F.row_number().over(w).cast("long").alias("place")).sort(F.asc_nulls_last("segment"), "c_custkey")
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").cast("long").alias("k"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal < 1000").select(F.col("s_nationkey").cast("long").alias("k"))
     return a, b
 
 
-_A, _B = "(SELECT c_nationkey::BIGINT AS k FROM customer WHERE c_acctbal > 0)", "(SELECT s_nationkey::BIGINT AS k FROM supplier)"
+_A, _B = "(SELECT c_nationkey::BIGINT AS k FROM customer WHERE c_acctbal > 0)", "(SELECT s_nationkey::BIGINT AS k FROM supplier WHERE s_acctbal < 1000)"
 
 
 def _set_query(name: str, keyword: str, combine) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.vectors import cosine, dot
+from lodeframe.operators.nearest import nearest
 from lodeframe.plans.registry import query, table
 
 
@@ -65,14 +66,21 @@ def scalar_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(e).cast("long").alias("n"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"), F.element_at(e, 3).cast("double").alias("third"), dot(e, e).alias("squares"))
 
 
-@query("""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS cosine
- FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id < 20""")
+@query("""SELECT a_id, b_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY cosine DESC, b_id) AS r FROM (
+ SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS cosine
+ FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0)) WHERE r <= 10""")
 def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 20th vector against the first 20, a stated query set."""
+    """The ten nearest of all vectors for every 20th, the stated query set."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(e.where("id % 20 = 0"), e, 10)
+
+
+@query("SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the one behind it, in column functions."""
     e = table(spark, sf_dir, "embeddings")
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
-    b = e.where("vec_id < 20").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
-    return a.crossJoin(F.broadcast(b)).select("a_id", "b_id", F.round(cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
+    ahead = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(ahead, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("b")), 9).alias("cosine"))
 
 
 @query("SELECT item_id, unnest(range(len(w)))::BIGINT AS pos, unnest(w) AS word FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")

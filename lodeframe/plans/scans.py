@@ -70,13 +70,13 @@ def scan_inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
 
 
-@query("SELECT count(*) AS files, 25::BIGINT AS names FROM (VALUES (1)) AS t(x)")
+@query("SELECT count(DISTINCT n_regionkey) AS files, count(*) AS names FROM nation")
 def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of text files as bytes: one row per file."""
+    """A folder of text files as bytes: one row per file, here one for each region."""
     path = shared_path(spark, "binary")
-    table(spark, sf_dir, "nation").select("n_name").coalesce(1).write.text(path)
+    table(spark, sf_dir, "nation").select("n_name", "n_regionkey").repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
     lines = F.size(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n"))
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).agg(F.count("*").alias("files"), F.sum(lines).alias("names"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).agg(F.count("*").alias("files"), F.sum(lines).alias("names"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -92,6 +92,13 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7)
 
 
+@query()
+def sample_table_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TABLESAMPLE with a seed, a sampling operator."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("sampled_lineitem")
+    return spark.sql("SELECT * FROM sampled_lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)")
+
+
 @query()
 def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").sampleBy("o_orderstatus", {"F": 0.2, "O": 0.1, "P": 1.0}, seed=7)

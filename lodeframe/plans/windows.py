@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeframe.operators.ranks import counts_in_range
 from lodeframe.plans.registry import query, table
 
 
@@ -41,10 +42,30 @@ def window_rows_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near FROM orders")
 def window_range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_totalprice").rangeBetween(-1000, 1000)
+    """Of a few large groups: counted in bins of the price, so that no task holds a group."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    price = F.col("o_totalprice")
+    return counts_in_range(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", price - 1000, price + 1000, 1000.0, "near").select("o_orderkey", "near")
+
+
+@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near FROM orders")
+def window_range_frame_of_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_totalprice").rangeBetween(-1000, 1000)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(w).alias("near"))
 
 
+@query("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS total FROM orders")
+def window_groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers share a dense rank, so a frame of groups is one of ranks."""
+    ranked = table(spark, sf_dir, "orders").withColumn("g", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderdate")))
+    return ranked.select("o_orderkey", F.sum("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("g").rangeBetween(-1, 0)).alias("total"))
+
+
+@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS others FROM orders")
+def window_exclude_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.count("*").over(Window.partitionBy("o_custkey")) - 1).alias("others"))
+
+
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events")
 def window_interval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id", "count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day")

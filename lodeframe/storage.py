@@ -1,8 +1,8 @@
 """Where intermediate tables and checkpoints go.
 
 On a cluster the folder is the one named in ``spark.checkpoint.dir``: the driver and all
-executors see it.  Only where that setting is missing (tests on one machine) a local folder
-is made.
+executors see it.  Only where that setting is missing and the master is this process (tests on
+one machine) a local folder is made; elsewhere its absence is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI without a trailing slash."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "lodeframe-" + spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
