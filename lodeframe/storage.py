@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,6 +44,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits in a sieve.
+WORDS = 1 << 20
+
+
+def sieved(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` isn't among ``ids`` for certain, and the others.
+
+    The ids set bits of a map of fixed size (at most ``WORDS`` rows), which alone is broadcast; so
+    wide rows needn't be shuffled to learn that they have no partner.
+    """
+    word = F.pmod(F.xxhash64(key), F.lit(WORDS))
+    bit = f"cast(pmod(shiftright(xxhash64({key}), 32), 64) AS int)"
+    bits = ids.select(word.alias("__word"), F.expr(f"shiftleft(1L, {bit})").alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    marked = rows.withColumn("__word", word).join(F.broadcast(stored(bits, "sieve")), "__word", "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(__bits, {bit}) & 1L") == 1, F.lit(False))
+    return marked.where(~hit).select(*rows.columns), marked.where(hit).select(*rows.columns)
+
+
 def publish(fs, written: str, final: str) -> None:
     """Give a finished file its name.  Where a rename doesn't replace and an earlier attempt of
     the same task was first, its file, the same by construction, stays."""
