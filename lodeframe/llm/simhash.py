@@ -196,17 +196,21 @@ def level_masks(level: int, radius: int) -> list[int]:
     return _ranges(bits, radius + 1)
 
 
-def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int) -> DataFrame:
+def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` (t, fp and further columns) with the shards (t, mask, bits) that each is in; ``n`` is
-    the number of rows of a table ``t``."""
+    the number of rows of a table ``t``.  ``known`` takes the keys of the large shards of each level;
+    given again with the same fingerprints, it saves counting them anew."""
+    known = [] if known is None else known
     masks, keys = shard_masks(radius, n, size), ["t", "mask", "bits"]
     wholes = F.create_map(*(F.lit(_signed(x)) for pair in masks.items() for x in pair))
     columns = [c for c in rows.columns if c not in keys]
     bits = F.col("fp").bitwiseAND(F.col("mask"))
     dealt, found = rows.select("*", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("bits", bits), []
     for level in range(LEVELS + 1):
-        # what shares one fingerprint isn't split by further bits
-        large = stored(dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where((F.col("n") > limit) & (F.col("low") < F.col("high"))).select(*keys), "large")
+        if level == len(known):
+            # what shares one fingerprint isn't split by further bits
+            known.append(stored(dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where((F.col("n") > limit) & (F.col("low") < F.col("high"))).select(*keys), "large"))
+        large = known[level]
         if level == LEVELS or large.isEmpty():
             found.append(dealt)
             break
