@@ -135,6 +135,13 @@ def encode(path: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat[np.repeat(starts - before, counts) + np.arange(int(counts.sum()))], counts
 
 
+class _Numbers(dict[bytes, int]):
+    """-1 for what it doesn't hold, which it isn't given by that."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Remembered:
     """Ids of the pre-tokens that a worker met, found by number."""
 
@@ -143,29 +150,38 @@ class Remembered:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make sure that all pre-tokens of ``texts`` are known."""
+    def numbers_of(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of pre-tokens, those that are new learned first."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        new = set(chain.from_iterable(texts)).difference(self.numbers)
-        if not new:
-            return
-        pairs = {}
+        out = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [words[k] for k in missing.tolist()]
+            self._learn(set(new))
+            out[missing] = np.fromiter(map(self.numbers.__getitem__, new), np.int64, len(new))
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        whole, joined = new, []
         if drops_white_space(self.path):
             words = list(new)
-            pairs = {w: (stem, tail) for w, stem, tail in zip(words, *halves(words), strict=True) if stem != w}
-        parts = (new.difference(pairs) | set(chain.from_iterable(pairs.values()))).difference(self.numbers)
+            joined = [x for x in zip(words, *halves(words), strict=True) if x[1] != x[0]]
+            whole = new.difference(w for w, _, _ in joined).union((s for _, s, _ in joined), (t for _, _, t in joined))
+        parts = list(whole.difference(self.numbers))
         if parts:
-            self._add(list(parts), *encode(self.path, list(parts)))
-        words = [w for w in pairs if w not in self.numbers]
-        if words:
-            which = np.fromiter((self.numbers[half] for w in words for half in pairs[w]), np.int64, 2 * len(words))
+            self._add(parts, *encode(self.path, parts))
+        joined = [x for x in joined if x[0] not in self.numbers]
+        if joined:
+            words, stems, tails = zip(*joined, strict=True)
+            at = self.numbers.__getitem__
+            which = np.column_stack([np.fromiter(map(at, stems), np.int64, len(stems)), np.fromiter(map(at, tails), np.int64, len(tails))]).ravel()
             took = self.counts[which]
             ids = self.flat[np.repeat(self.starts[which] - (np.cumsum(took) - took), took) + np.arange(int(took.sum()))]
-            self._add(words, ids, took[0::2] + took[1::2])
+            self._add(list(words), ids, took[0::2] + took[1::2])
 
     def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
