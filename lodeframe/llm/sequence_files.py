@@ -47,8 +47,9 @@ def encoded(texts: list[bytes], tokenizer: str, end_id: int) -> tuple[np.ndarray
     cut = vocab.pre_tokens(tokenizer)
     pieces = [cut(t) for t in texts]
     known = vocab.remembered(tokenizer)
+    known.learn(pieces)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    which = known.numbers_of(list(chain.from_iterable(pieces)))
+    which = np.fromiter(map(known.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
     took = known.counts[which]
     begins = np.cumsum(took) - took
     ids = known.flat[np.repeat(known.starts[which] - begins, took) + np.arange(int(took.sum()))]
