@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.plans.registry import query, table
-from lodeframe.streaming.runner import read_stream, to_table
+from lodeframe.streaming.runner import in_batches, read_stream, to_table
 from lodeframe.streaming.stateful import running_totals
 from lodeframe.streaming.windows import session_counts, sliding_counts, tumbling_counts, with_event_time
 
@@ -15,6 +15,46 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_event_time(read_stream(spark, sf_dir, "events"))
 
 
+def _in_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events by quarters of their time span, shuffled within, and then a fifth batch: some of the
+    first quarter again, far behind the watermark."""
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = (x or 0 for x in events.agg(F.min(at), F.max(at)).first())
+    dealt = events.withColumn("quarter", F.least(F.lit(3), F.floor(4 * (at - low) / max(1, high - low))))
+    parts = [dealt.where(F.col("quarter") == k).select(*events.columns).orderBy(F.xxhash64("event_id")) for k in range(4)]
+    late = dealt.where((F.col("quarter") == 0) & (F.col("event_type") == "click")).select(*events.columns)
+    return with_event_time(in_batches([*parts, late], "batches"))
+
+
+_CLOSED = "start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(f"SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) WHERE {_CLOSED}")
+def stream_late_rows_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches, the last of rows behind the watermark: they change no window, and a window is
+    given once the watermark has passed its end."""
+    return to_table(tumbling_counts(_in_four(spark, sf_dir).withWatermark("ts", "1 hour"), "1 hour", "event_type"), "append")
+
+
+@query("""SELECT start, event_type, n, total FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)""")
+def stream_state_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode over five batches: a window that several batches change is given several times."""
+    changes = to_table(tumbling_counts(_in_four(spark, sf_dir).withWatermark("ts", "1 hour"), "1 day", "event_type"), "update")
+    return changes.groupBy("start", "event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+
+
+_SESSIONS = """SELECT user_id, start, n FROM (SELECT user_id, session, min(ts)::TIMESTAMP AS start, max(ts) AS last, count(*) AS n FROM (
+ SELECT user_id, ts, sum(CASE WHEN ts > before + INTERVAL 6 HOUR OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY 1, 2)
+ WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
+@query(_SESSIONS)
+def stream_sessions_over_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed, over five batches."""
+    return to_table(session_counts(_in_four(spark, sf_dir).withWatermark("ts", "1 hour"), "6 hours", "user_id"), "append")
+
+
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_table(tumbling_counts(_events(spark, sf_dir).withWatermark("ts", "1 hour"), "1 hour", "event_type"), "complete")
@@ -25,13 +65,13 @@ def stream_sliding_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_table(sliding_counts(_events(spark, sf_dir).withWatermark("ts", "1 hour"), "2 hours", "1 hour", "event_type"), "complete")
 
 
-@query()
+@query(f"SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) WHERE {_CLOSED}")
 def stream_tumbling_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has passed; the last ones stay open."""
     return to_table(tumbling_counts(_events(spark, sf_dir).withWatermark("ts", "1 hour"), "1 hour", "event_type"), "append")
 
 
-@query()
+@query(_SESSIONS)
 def stream_session_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_table(session_counts(_events(spark, sf_dir).withWatermark("ts", "1 hour"), "6 hours", "user_id"), "append")
 
@@ -72,5 +112,5 @@ def stream_tumbling_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id FROM events")
 def stream_dedup_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State is kept for the watermark's delay only."""
-    return to_table(_events(spark, sf_dir).select("event_id", "ts").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")
+    """State is kept for the watermark's delay only; the rows of the last batch are repeats behind it."""
+    return to_table(_in_four(spark, sf_dir).select("event_id", "ts").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")

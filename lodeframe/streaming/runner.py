@@ -16,6 +16,16 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def in_batches(parts: list[DataFrame], label: str) -> DataFrame:
+    """A stream that gives ``parts``, one after the other, in a micro-batch each."""
+    spark = parts[0].sparkSession
+    path = shared_path(spark, label)
+    for k, part in enumerate(parts):
+        # one file a batch; files are taken in the order in which they were written
+        part.coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+
+
 def to_table(stream: DataFrame, mode: str) -> DataFrame:
     """All rows that the stream gives in ``mode`` ("append", "complete", "update") over what is there
     now, through Parquet files of the shared folder."""
