@@ -4,15 +4,18 @@ import itertools
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from lodeframe.llm.licenses import TEMPLATES, license_scan, oracle_sql, signature, template_bigrams
 from lodeframe.llm.packing import bucket_bounds, pack
-from lodeframe.llm.resampling import importance_resample
+from lodeframe.llm.resampling import _top, importance_resample
 from tokenizers import Tokenizer
 
 
@@ -109,3 +112,43 @@ def test_resampling(spark, odd, none):
     everything = importance_resample(odd, labels.limit(0)).collect()
     assert len(everything) == odd.count() and all(r.kept and r.log_weight == 0 and math.isfinite(r.key) for r in everything)
     assert importance_resample(none, labels).count() == 0
+
+
+def plain_features(text, buckets):
+    words = [zlib.crc32(w) for w in text.lower().split()]
+    for k, w in enumerate(words):
+        yield w % buckets
+        if k + 1 < len(words):
+            mixed = (w * 0x9E3779B97F4A7C15 ^ words[k + 1] + 0x7F4A7C15) % 2**64
+            yield ((mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 20) % buckets
+
+
+def test_weights_and_keys_by_definition(spark):
+    random.seed(9)
+    texts = [(k, " ".join(random.choice("a B c d e É river, stone".split()) for _ in range(random.randint(0, 25)))) for k in range(120)] + [(None, "no id"), (500, "long " * 30_000)]
+    labels = [(k, int(k % 3 > 0), int(k % 7 == 0)) for k in range(0, 120, 2)]
+    good, buckets = {k for k, q, t in labels if q and not t}, 256
+    raw, target = Counter(), Counter()
+    for i, t in texts:
+        own = Counter(plain_features(t.encode(), buckets))
+        raw += own
+        if i in good:
+            target += own
+    ratio = [math.log((target[b] + 1) / (sum(target.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets)) for b in range(buckets)]
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in importance_resample(docs, marks, buckets=buckets).collect()}
+    for i, t in texts:
+        own = list(plain_features(t.encode(), buckets))
+        uniform = ((xxhash.xxh64_intdigest(f"{i}\0".encode() + t.encode(), 42) >> 11) + 0.5) / 2.0**53
+        weight = sum(ratio[b] for b in own)
+        assert got[i].n_features == len(own) and math.isclose(got[i].log_weight, weight, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(got[i].key, weight - math.log(-math.log(uniform)), rel_tol=1e-9, abs_tol=1e-9)
+    wanted = round(len(texts) * len(good) / len(labels))
+    assert {i for i, r in got.items() if r.kept} == {r.doc_id for r in sorted(got.values(), key=lambda r: -r.key)[:wanted]}
+
+
+def test_ties_at_the_last_place(spark):
+    rows = [(k, 1, 0.0, 1.0, 7, 0) for k in (5, 3, None, 9, 4)] + [(1, 1, 0.0, 2.0, 8, 0), (0, 1, 0.0, 0.0, 6, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, n_features long, log_weight double, key double, place long, draw long")
+    for k, kept in ((1, {1}), (2, {1, 3}), (4, {1, 3, 4, 5}), (6, {1, 3, 4, 5, 9, None}), (7, {1, 3, 4, 5, 9, None, 0})):
+        assert {r.doc_id for r in _top(df, k).collect() if r.kept} == kept

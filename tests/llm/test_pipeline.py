@@ -31,3 +31,13 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_no_ids(spark, odd, tmp_path):
+    """Columns that the operators use inside, null ids and texts, repeated rows."""
+    spark.createDataFrame([(1, "the cat sat on the mat and then it slept")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.selectExpr("*", "1L AS row", "'x' AS digest", "2L AS node", "0L AS n_chars", "'y' AS held", "3L AS __word")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
