@@ -39,5 +39,6 @@ def test_stages_with_clashing_columns_and_no_ids(spark, odd, tmp_path):
     docs = odd.selectExpr("*", "1L AS row", "'x' AS digest", "2L AS node", "0L AS n_chars", "'y' AS held", "3L AS __word")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, str(tmp_path))
-        assert after.columns == docs.columns and after.count() > 0, name
+        n = after.count()  # no text of the table has 20 words without repetition
+        assert after.columns == docs.columns and (n == 0 if name == "quality_rules" else n > 0), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
