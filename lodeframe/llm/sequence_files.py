@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm import vocab
-from lodeframe.llm.texts import as_bytes, id_and_text, sliced, sums_by
+from lodeframe.llm.texts import id_and_text, sliced, sums_by
 from lodeframe.storage import publish, shared_path
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -42,18 +41,19 @@ ROWS = 256
 SHARD_IDS = 1 << 27
 
 
-def encoded(texts: list[bytes], tokenizer: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts in a row, an end id after each, and each text's number of ids."""
-    cut = vocab.pre_tokens(tokenizer)
-    pieces = [cut(t) for t in texts]
+def encoded(texts: pa.Array, tokenizer: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts in a row, an end id after each, and each text's number of ids.
+
+    Arrow finds the distinct parts, so that only these are looked up one by one.
+    """
+    parts, first = vocab.parts(tokenizer, texts)
+    distinct = parts.dictionary_encode()
     known = vocab.remembered(tokenizer)
-    known.learn(pieces)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    which = np.fromiter(map(known.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+    which = known.learn(distinct.dictionary.to_pylist())[np.asarray(distinct.indices)]
     took = known.counts[which]
     begins = np.cumsum(took) - took
     ids = known.flat[np.repeat(known.starts[which] - begins, took) + np.arange(int(took.sum()))]
-    lengths = sums_by(took, np.concatenate([[0], np.cumsum(sizes)]))
+    lengths = sums_by(took, first)
     return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
@@ -108,7 +108,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
         number, own = context.partitionId() << 20, f".attempt-{context.taskAttemptId()}"
         shard = None
         for batch in sliced(batches, limit=4 << 20):
-            ids, lengths = encoded(as_bytes(batch.column("text")), tokenizer, end_id)
+            ids, lengths = encoded(batch.column("text"), tokenizer, end_id)
             ends, first = np.cumsum(lengths), 0
             while first < len(lengths):
                 shard = shard or _Shard(folder, number, own, length, schema, end_id)

@@ -20,8 +20,10 @@ import string
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pre-tokens whose ids a worker remembers; beyond it forgets all of them and goes on.
+#: Distinct parts of texts whose ids a worker remembers; beyond it forgets all of them and goes on.
 REMEMBERED = 1_200_000
 
 
@@ -136,7 +138,7 @@ def encode(path: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Remembered:
-    """Ids of the pre-tokens that a worker met, found by number."""
+    """Ids of the parts of texts that a worker met, found by number."""
 
     def __init__(self, path: str):
         self.path = path
@@ -146,47 +148,60 @@ class Remembered:
         self.numbers: dict[bytes, int] = {}
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make sure that all pre-tokens of ``texts`` are known."""
+    def learn(self, distinct: list[bytes]) -> np.ndarray:
+        """The numbers of ``distinct`` parts, after new ones were encoded."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        new = set(chain.from_iterable(texts)).difference(self.numbers)
-        if not new:
-            return
-        pairs = {}
-        if drops_white_space(self.path):
-            words = list(new)
-            pairs = {w: (stem, tail) for w, stem, tail in zip(words, *halves(words), strict=True) if stem != w}
-        parts = (new.difference(pairs) | set(chain.from_iterable(pairs.values()))).difference(self.numbers)
-        if parts:
-            self._add(list(parts), *encode(self.path, list(parts)))
-        words = [w for w in pairs if w not in self.numbers]
-        if words:
-            which = np.fromiter((self.numbers[half] for w in words for half in pairs[w]), np.int64, 2 * len(words))
-            took = self.counts[which]
-            ids = self.flat[np.repeat(self.starts[which] - (np.cumsum(took) - took), took) + np.arange(int(took.sum()))]
-            self._add(words, ids, took[0::2] + took[1::2])
-
-    def _add(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, ids])
-
-
-def halves(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Each word's lower-case stem and the ASCII punctuation behind its last letter, which are
-    encoded apart; the word itself and nothing where that is not certain."""
-    stems = [w.rstrip(PUNCTUATION) for w in words]
-    stems = [s if s is w or s[-1:].isalpha() else w for s, w in zip(stems, words, strict=True)]
-    tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
-    lowered = b" ".join(stems).lower().split(b" ")
-    whole = b" ".join(words)
-    if b"<|" in whole or MARKS[0] in whole or MARKS[1] in whole:
-        for k, w in enumerate(words):
-            if b"<|" in w or MARKS[0] in w or MARKS[1] in w:
-                lowered[k], tails[k] = w, b""
-    return lowered, tails
+        new = [x for x in distinct if x not in self.numbers]
+        if new:
+            ids, counts = encode(self.path, new)
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.flat = np.concatenate([self.flat, ids])
+        return np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+
+
+_IS_PUNCTUATION = np.isin(np.arange(256), np.frombuffer(PUNCTUATION, np.uint8))
+_IS_LETTER = np.isin(np.arange(256), np.frombuffer(string.ascii_letters.encode(), np.uint8))
+_TO_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def parts(path: str, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of the texts in a row, which are encoded apart, and the place where each text's
+    begin, closed by their number.
+
+    Where white space only separates, a word's parts are its stem in lower case and the ASCII
+    punctuation behind its last letter; the word as it is and nothing where that is not certain:
+    special strings, and marks that may compose with what comes before.  Else a text is one part.
+    """
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    if not drops_white_space(path):
+        return texts, np.arange(len(texts) + 1)
+    words = pc.ascii_split_whitespace(texts.view(pa.string()))  # bytes need not be UTF-8
+    flat = words.flatten()
+    if not len(flat):
+        return flat.cast(pa.binary()), np.zeros(len(texts) + 1, np.int64)
+    _, offsets, data = flat.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    # the words lie side by side, so stems and tails share their bytes
+    held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    firsts, ends = bounds[:-1], bounds[1:]
+    last = np.where(_IS_PUNCTUATION[held], np.int32(0), np.arange(1, len(held) + 1, dtype=np.int32))
+    last = np.concatenate([np.zeros(1, np.int32), np.maximum.accumulate(last)])[ends]
+    cut = (last > firsts) & (last < ends)
+    cut[cut] = _IS_LETTER[held[last[cut] - 1]]
+    lowered = _TO_LOWER[held]
+    odd = (held == MARKS[0][0]) | (held == MARKS[1][0])
+    odd[:-1] |= (held[:-1] == ord("<")) & (held[1:] == ord("|"))
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(odd), side="right")).tolist():
+        cut[k] = False
+        lowered[firsts[k] : ends[k]] = held[firsts[k] : ends[k]]
+    both = np.empty(2 * len(flat) + 1, np.int32)
+    both[0::2], both[1::2] = bounds, np.where(cut, last, ends)
+    first = np.asarray(words.offsets).astype(np.int64)
+    return pa.Array.from_buffers(pa.binary(), 2 * len(flat), [None, pa.py_buffer(both), pa.py_buffer(lowered)]), 2 * (first - first[0])
 
 
 @functools.cache
