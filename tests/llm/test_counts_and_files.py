@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import TEXTS  # noqa: F401
 from tokenizers import Tokenizer
@@ -32,12 +33,21 @@ def test_encoded_equals_library_on_odd_strings():
     parts = list("aAbBhHxX'’sStTrReE.,!?&#$<|>12 \n\t") + ["ţ", "̱", "́", "é", "É", "ß", "İ", "ı", "Σ", "ς", "中", "한", " ", " ", "…", "€", "\x00", "ẖ", "<|endoftext|>", "<|startoftext|>", "'ll", "don't ", "THE. "]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 25))) for _ in range(3000)]
     tokenizer = Tokenizer.from_file(WORDS)
-    ids, lengths = encoded([t.encode() for t in texts], WORDS, 1)
+    ids, lengths = encoded(pa.array([t.encode() for t in texts]), WORDS, 1)
     at = np.concatenate([[0], np.cumsum(lengths)])
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1], t
 
 
+def test_encoded_takes_slices_nulls_and_large_strings():
+    column = pa.array(["cut off", "Hello, World!", None, " ", "a.b, c"], pa.large_string()).slice(1, 3)
+    library = Tokenizer.from_file(WORDS)
+    ids, lengths = encoded(column, WORDS, 1)
+    hello = library.encode("Hello, World!", add_special_tokens=False).ids
+    assert ids.tolist() == hello + [1, 1, 1] and lengths.tolist() == [len(hello) + 1, 1, 1]
+    assert [len(x) for x in encoded(column.slice(0, 0), WORDS, 1)] == [0, 0]
+
+
 def test_only_word_tokenizers_are_cut_at_white_space():
     assert vocab.drops_white_space(WORDS) and not vocab.drops_white_space(BYTES) and not vocab.drops_white_space(PIECES)
 
@@ -97,4 +107,4 @@ def test_bytes_that_are_not_utf8():
     texts = [b"\xff\xfe word", b"w\xc3", b"ok"]
     library = Tokenizer.from_file(WORDS)
     wanted = [len(library.encode(t.decode(errors="replace"), add_special_tokens=False).ids) for t in texts]
-    assert vocab.encode(WORDS, texts[1:])[1].tolist() == wanted[1:] and (encoded(texts, WORDS, 1)[1] - 1).tolist() == wanted
+    assert vocab.encode(WORDS, texts[1:])[1].tolist() == wanted[1:] and (encoded(pa.array(texts), WORDS, 1)[1] - 1).tolist() == wanted
