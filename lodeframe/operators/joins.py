@@ -13,12 +13,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     Both sides are laid over each other and the last right row is carried along: one shuffle, linear
     in the rows, where a join would meet all pairs of a key.  With ``width`` (of numbers, or of
     seconds for times) time lines are cut into bins of a key, each of which starts with the last
-    right row of the bins before, so that a common key isn't one task's.
+    right row of the bins before, so that a common key isn't one task's.  Left rows without a key or a
+    time are kept and find nothing; such right rows are never found.
     """
     struct = F.struct(F.col(right_ts).alias("__at"), *values)
     # at equal times a strict join sees the left row first
     lefts = left.select(*[F.col(c) for c in left.columns], F.col(left_ts).alias("__ts"), F.lit(0 if strict else 1).alias("__side"))
-    rights = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(1 if strict else 0).alias("__side"), struct.alias("__right"))
+    rights = right.dropna(subset=[*by, right_ts]).select(*by, F.col(right_ts).alias("__ts"), F.lit(1 if strict else 0).alias("__side"), struct.alias("__right"))
     both, keys = lefts.unionByName(rights, allowMissingColumns=True), list(by)
     if width is not None:
         both, keys = both.withColumn("__bin", time_bin("__ts", width)), [*by, "__bin"]
@@ -26,7 +27,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
         # one row of a key and bin at most, far fewer than rows
         bins = both.select(*keys).distinct().join(last, keys, "left")
         ahead = bins.withColumn("__carried", F.last("__last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "__carried")
-        both = both.join(ahead, keys)
+        both = both.join(ahead, keys, "left")
     w = Window.partitionBy(*keys).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("__last", F.last("__right", ignorenulls=True).over(w)).where(F.col("__side") == (0 if strict else 1))
     if width is not None:

@@ -90,3 +90,32 @@ def join_local_supplier_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = t["customer"].join(t["orders"], F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey")
     sold = t["lineitem"].join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(buyers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     return sold.groupBy("n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+
+
+_PER_STATUS = "SELECT o_orderstatus, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
+
+
+def _orders_of_customers(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").hint(hint)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderstatus", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query(_PER_STATUS)
+def join_by_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides sorted: for sides of any size, as it spills."""
+    return _orders_of_customers(spark, sf_dir, "merge")
+
+
+@query(_PER_STATUS)
+def join_by_shuffled_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smaller side hashed in each partition, without a sort: for a side whose shuffle partitions fit
+    in memory."""
+    return _orders_of_customers(spark, sf_dir, "shuffle_hash")
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def join_by_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of fixed size goes to all tasks, so the other side isn't shuffled."""
+    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))

@@ -38,6 +38,18 @@ def scalar_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"))
 
 
+@query("SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS up FROM documents")
+def scalar_upper_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sharp s has two upper-case forms, of which engines choose either; it is spelled out first."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("up"))
+
+
+@query()
+def scalar_xxhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XXH64 with seed 42, which DuckDB lacks."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("h"))
+
+
 @query("""SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS doy, week(o_orderdate) AS w, dayofweek(o_orderdate) AS dow,
  date_trunc('month', o_orderdate)::TIMESTAMP AS month_start, (o_orderdate + INTERVAL 10 DAY)::TIMESTAMP AS later, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS days, strftime(o_orderdate, '%Y/%m') AS ym FROM orders""")
 def scalar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

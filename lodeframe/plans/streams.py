@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.plans.registry import query, table
 from lodeframe.streaming.runner import in_batches, read_stream, to_table
-from lodeframe.streaming.stateful import running_totals
+from lodeframe.streaming.stateful import running_totals, sessions_by_timers
 from lodeframe.streaming.windows import session_counts, sliding_counts, tumbling_counts, with_event_time
 
 
@@ -114,3 +114,10 @@ def stream_tumbling_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State is kept for the watermark's delay only; the rows of the last batch are repeats behind it."""
     return to_table(_in_four(spark, sf_dir).select("event_id", "ts").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append")
+
+
+@query(_SESSIONS)
+def stream_sessions_by_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions kept as arbitrary state over five batches and closed by event-time timers."""
+    closed = to_table(sessions_by_timers(_in_four(spark, sf_dir).withWatermark("ts", "1 hour"), 6 * 3600), "append")
+    return closed.select("user_id", F.timestamp_micros("start").cast("timestamp_ntz").alias("start"), "n")

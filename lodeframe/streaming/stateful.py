@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -20,3 +21,37 @@ def running_totals(events: DataFrame, key: str = "user_id", value: str = "value"
         yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [total]})
 
     return events.groupBy(key).applyInPandasWithState(update, f"{key} long, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+
+
+def sessions_by_timers(events: DataFrame, gap_seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """A key's sessions (key, start and last in microseconds, n), each given once the watermark has
+    passed its last event by the gap: state holds open sessions only, a timer wakes those of keys
+    that fell silent, and rows behind the watermark are dropped.  ``events`` has a watermark."""
+    gap = gap_seconds * 1_000_000
+
+    def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        behind = state.getCurrentWatermarkMs() * 1000
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            for frame in frames:
+                held += [(t, t, 1) for t in frame["at"].tolist() if t > behind]
+        merged: list[tuple[int, int, int]] = []
+        for start, last, n in sorted(held):
+            if merged and start <= merged[-1][1] + gap:
+                first, before, so_far = merged.pop()
+                start, last, n = first, max(before, last), so_far + n
+            merged.append((start, last, n))
+        still = [x for x in merged if x[1] + gap > behind]
+        if still:
+            state.update(tuple(map(list, zip(*still, strict=True))))
+            # a timer must lie ahead of the watermark
+            state.setTimeoutTimestamp(max(behind, min(last for _, last, _ in still) + gap) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        closed = merged[: len(merged) - len(still)]  # sessions end in the order in which they begin
+        if closed:
+            start, last, n = zip(*closed, strict=True)
+            yield pd.DataFrame({key: keys[0], "start": start, "last": last, "n": n})
+
+    rows = events.select(key, ts, F.unix_micros(ts).alias("at"))
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} long, start long, last long, n long", "starts array<long>, lasts array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,6 @@
 """Operators on cases that the tables lack: ties, nulls, repeated rows, empty sides."""
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -35,6 +36,14 @@ def test_asof_join(spark, left, right, strict):
         assert r["ts_matched"] == latest and (r["v"] in values if latest is not None else r["v"] is None)
 
 
+@pytest.mark.parametrize("width", [None, 3.0])
+def test_asof_join_without_keys_or_times(spark, width):
+    left = spark.createDataFrame([(1, 1, 5), (2, None, 5), (3, 1, None), (4, 2, 9)], LEFT)
+    right = spark.createDataFrame([(1, 1, "a"), (None, 1, "b"), (1, None, "c"), (2, None, "d")], RIGHT)
+    got = asof_join(left, right, ["k"], "ts", "ts", ["v"], width=width).collect()
+    assert sorted((r["id"], r["ts_matched"], r["v"]) for r in got) == [(1, 1, "a"), (2, None, None), (3, None, None), (4, None, None)]
+
+
 def test_range_join_has_each_pair_once(spark):
     points = spark.createDataFrame([(float(x),) for x in (0, 5, 10, 10, 25)], "x double")
     ranges = spark.createDataFrame([(0.0, 10.0), (5.0, 30.0), (11.0, 12.0)], "lo double, hi double")

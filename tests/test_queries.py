@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB counterpart: names, types and values."""
 
 import pytest
+import xxhash
 from compare import TYPES, connect, rows
 
 from lodeframe.plans import registry
@@ -42,6 +43,18 @@ def test_plans_push_filters_and_columns(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
+@pytest.mark.parametrize("how, operator", [("merge", "SortMergeJoin"), ("shuffled_hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin")])
+def test_join_strategies(spark, how, operator):
+    plan = registry.queries()[f"join_by_{how}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin") if x in plan] == [operator]
+
+
+def test_xxhash_is_xxh64_with_seed_42(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = registry.queries()["scalar_xxhash"](spark, SF).collect()
+    assert len(got) == len(texts) and all(r["h"] % (1 << 64) == xxhash.xxh64_intdigest(texts[r["doc_id"]].encode(), seed=42) for r in got)
+
+
 def test_partition_pruning(spark):
     plan = registry.queries()["scan_partition_pruning"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
