@@ -1,7 +1,7 @@
 """Blocks: a distributed join of the documents' tokens with what is known of each distinct token.
 
 Joining every (document, token) pair with a corpus-wide table would shuffle the corpus.  Here a
-block of documents (about 32 MB of text) numbers its distinct tokens, keeps each document's
+block of documents (about 16 MB of text) numbers its distinct tokens, keeps each document's
 numbers and frequencies in a file of the shared folder, and asks for each distinct token once.
 Requests are dealt out by token; a token asks at most once per block, so even the most common
 one is a small key, and no side is broadcast.  Answers return to the block as packed arrays.
@@ -31,7 +31,7 @@ REQUESTS = "ref long, token binary, weight long"
 LOCAL_BITS = 28
 LANES = 100_000
 #: Bytes of text in a block, unless a single text is longer.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Answers that a task packs at once.
 PACKED = 500_000
 
