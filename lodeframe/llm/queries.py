@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import licenses
+from lodeframe.llm import licenses, recompression
 from lodeframe.llm.texts import documents
 
 
@@ -74,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.removal_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,7 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_token_counts,
         op10_simhash,
+        op11_recompression,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle_sql(),
+    "op11_recompression": recompression.oracle_sql(),
+}
