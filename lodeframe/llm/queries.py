@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import licenses, recompression
+from lodeframe.llm import crc_resampling, licenses, recompression
 from lodeframe.llm.texts import documents
 
 
@@ -78,6 +78,16 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.removal_digest(documents(spark, sf_dir))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_resampling.crc_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,10 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_simhash,
         op11_recompression,
+        op12_whitening,
+        op13_crc_resampling,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle_sql(),
     "op11_recompression": recompression.oracle_sql(),
+    "op13_crc_resampling": crc_resampling.oracle_sql(),
 }
