@@ -94,15 +94,16 @@ AGAINST = {
 AFTER = {"yes": "expires|exp|valid|belongs|is my", "no": "units|items|pages|people|bytes|times|years|km|kg|usd|eur"}
 
 
-def _running(values: Column) -> Column:
-    """Running sums, the sum before each value; in chunks, as an array grows by copying."""
+def _running(values: Column, merge=lambda a, x: a + x) -> Column:
+    """Running sums (or what ``merge`` makes), that before each value, from 0; in chunks, as an array grows by copying."""
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
 
     def sums(items: Column, start: Column) -> Column:
-        return F.slice(F.aggregate(items, F.array(start), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))), F.lit(1), F.size(items))
+        return F.slice(F.aggregate(items, F.array(start), lambda done, x: F.concat(done, F.array(merge(F.element_at(done, -1), x)))), F.lit(1), F.size(items))
 
-    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.zip_with(chunks, sums(totals, F.lit(0)), sums))
+    zero = F.lit(0).cast("long")
+    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, merge))
+    return F.flatten(F.zip_with(chunks, sums(totals, zero), sums))
 
 
 def _digits(m: Column) -> Column:
@@ -193,7 +194,7 @@ def _let(value: Column, body) -> Column:
 def _matches(held: Column) -> Column:
     """Each match with its start and the pieces before and after it."""
     n = F.size(held["matches"])
-    lengths = F.zip_with(held["pieces"], held["matches"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+    lengths = F.zip_with(held["pieces"], held["matches"], lambda p, m: (F.length(p) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
     starts = F.zip_with(_running(lengths), held["pieces"], lambda s, p: s + F.length(p))
     around = F.zip_with(F.slice(held["pieces"], F.lit(1), n), F.slice(held["pieces"], F.lit(2), n), lambda p, q: F.struct(F.right(p, F.lit(CONTEXT)).alias("before"), F.left(q, F.lit(CONTEXT)).alias("after")))
     placed = F.zip_with(held["matches"], F.slice(starts, F.lit(1), n), lambda m, s: F.struct(m.alias("m"), s.alias("start")))
@@ -267,11 +268,20 @@ def train_classifier(rows: list[tuple[int, tuple[bool, ...], float, int]], round
     return kinds, features
 
 
+#: No candidate.
+NONE = "array<struct<start:bigint,kind:int,end:bigint,votes:array<int>,features:array<boolean>>>"
+
+
+def _all_found(text: Column) -> Column:
+    """The candidates of all kinds in a text."""
+    return F.concat(*(F.coalesce(_found(kind, text), F.array().cast(NONE)) for kind in KINDS))
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """``rows`` with all candidates of a text (column ``text``) as ``found``."""
     text = F.col("text")
-    every = F.concat(*(F.coalesce(_found(kind, text), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,votes:array<int>,features:array<boolean>>>")) for kind in KINDS))
-    return rows.where(text.rlike("[0-9@]")).select("*", F.explode(F.array(every)).alias("found"))
+    # explode() of one value keeps the optimizer from repeating it in later terms
+    return rows.where(text.rlike("[0-9@]")).select("*", F.explode(F.array(_all_found(text))).alias("found"))
 
 
 def _classified(found: DataFrame) -> Column:
@@ -305,7 +315,7 @@ def _text_of(spans: Column) -> Column:
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, the digest of the base spans, all spans."""
     rows = id_and_text(docs, id_col, text_col)
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,votes:array<int>,features:array<boolean>>>")
+    none = F.array().cast(NONE)
     with_any = stored(_candidates(rows).select("doc_id", "found"), "candidates")
     condition = _classified(with_any)
     plain = rows.where(~F.col("text").rlike("[0-9@]")).select("doc_id", none.alias("found"))
@@ -317,22 +327,38 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with the spans of their texts replaced by their kinds in angle brackets, one
-    kind after the other; texts without spans (and nulls) stay as they are."""
+    """The documents with the spans of their texts, as ``pii_spans`` finds them, replaced by their kinds in angle
+    brackets.  Spans that overlap are one, named after the first of them (of those that start together: the
+    kind listed first).  Texts without spans (and nulls) stay as they are."""
     condition = _classified(stored(_candidates(docs.select(F.col(text_col).alias("text"))).select("found"), "candidates"))
-    for kind in KINDS:
-        text = F.col(text_col)
-        new = F.when(text.rlike(PATTERNS[kind]), _let(_cut(kind, text), _masked(kind, condition))).otherwise(text)
-        # explode() of one value keeps the optimizer from repeating it in the next kind's terms
-        docs = docs.select(*(F.explode(F.array(new)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
-    return docs
+    text = F.col(f"held.{text_col}")
+    held = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("held"))
+    found = F.when(text.rlike("[0-9@]"), F.array_sort(F.filter(_all_found(text), condition)))
+    spans = held.select("held", F.explode(F.array(found)).alias("spans"))
+    ends = spans.select("held", "spans", F.explode(F.array(_running(F.transform("spans", lambda c: c["end"]), lambda a, x: F.greatest(a, x)))).alias("ends"))
+    masked = F.when(F.size("spans") > 0, _let(_chunks(text), _masked)).otherwise(text)
+    return ends.select(*(masked.alias(c) if c == text_col else F.col("held")[c].alias(c) for c in docs.columns))
+
+
+#: Code points of the chunks in which a text is cut at spans, so that no cut counts from the text's start.
+CUT = 2048
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))
 
 
-def _masked(kind: str, condition):
-    """A text put together again, with this kind's spans replaced."""
+def _masked(chunks: Column) -> Column:
+    """A text put together from its chunks, with united spans replaced; ``ends``: the last end before each span."""
 
-    def joined(held: Column) -> Column:
-        put = F.transform(_matches(held), lambda r: F.when(_passes(kind, r["m"]) & condition(_candidate(kind, r)), F.lit(f"<{kind}>")).otherwise(r["m"]))
-        return F.array_join(F.flatten(F.zip_with(held["pieces"], put, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / CUT).cast("int")
+        n = F.when(end > start, F.floor((end - 1) / CUT).cast("int") - first + 1).otherwise(0)
+        return F.substr(F.array_join(F.slice(chunks, first + 1, n), ""), (start % CUT + 1).cast("int"), (end - start).cast("int"))
 
-    return joined
+    begin = F.filter(F.zip_with("spans", "ends", lambda c, e: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), e.alias("before"))), lambda c: c["start"] >= c["before"])
+    name = F.array(*(F.lit(f"<{kind}>") for kind in KINDS))
+    parts = F.transform(begin, lambda c: F.concat(piece(c["before"], c["start"]), F.element_at(name, c["kind"] + 1)))
+    last = F.array_max(F.transform("spans", lambda c: c["end"]))
+    length = (F.size(chunks) - 1) * CUT + F.length(F.element_at(chunks, -1))
+    return F.concat(F.array_join(parts, ""), piece(last, length))

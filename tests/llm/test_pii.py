@@ -42,6 +42,34 @@ def test_base_spans(spark, odd, none):
     assert pii_spans(none).count() == 0
 
 
+def united(text, spans):
+    """The text cut at its spans, by the definition."""
+    out, end, label = [], 0, {k: f"<{k}>" for k in ("email", "ip", "card", "phone", "ssn", "account", "secret")}
+    order = list(label)
+    for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)), key=lambda s: (s[1], order.index(s[0]))):
+        if a >= end:
+            out += [text[end:a], label[kind]]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
+
+
+def test_masked_texts_are_cut_at_the_spans(spark, monkeypatch):
+    random.seed(3)
+    parts = list("aZ09..@@--  +()_%:é€\n\U0001f600") + ["192.168.1.1", "4539 1488 0343 6467", "+1 (614) 555-8001", "a.b@c.de", "123-45-6789", "4111111111111111", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "+1 10.0.0.1 555 1234"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 30))) for _ in range(400)]
+    texts += ["call +1 10.0.0.1 555 1234 now", "", None, "\U0001f600" * 3000 + "a.b@c.de", "x" * 2047 + " 10.0.0.1 " + "y" * 5000, "1.2.3.4 x@y.zz " * 1500]
+    rows = spark.createDataFrame([(i, t, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, spans string, ends array<int>")
+    spans = {r.doc_id: r.spans for r in pii_spans(rows).collect()}
+    got = mask_pii(rows)
+    assert got.columns == rows.columns
+    got = {r.doc_id: r for r in got.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].text == (None if t is None else united(t, spans[i])), (t, spans[i])
+        assert got[i].spans == t and got[i].ends == [1]
+    assert got[400].text == "call <phone> now"
+
+
 def test_secrets_are_found_and_words_are_not(spark):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(k, f'token = "{key[:-2]}{k:02d}" set') for k in range(40)] + [(100, "x" * 30 + " plain")]
