@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.statistics import sample_skewness
-from lodeframe.operators.ranks import quantile
+from lodeframe.operators.ranks import quantiles
 from lodeframe.plans.registry import query, table
 
 
@@ -37,10 +37,9 @@ def agg_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, median(l_quantity) AS med, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_disc(l_quantity, 0.25) AS q25 FROM lineitem GROUP BY 1")
 def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of three groups: by counts of values in bins, so that no task holds a group's values."""
-    items = table(spark, sf_dir, "lineitem")
-    parts = [quantile(items, "l_returnflag", c, p, continuous).withColumnRenamed("quantile", name) for name, c, p, continuous in (("med", "l_quantity", 0.5, True), ("p90", "l_extendedprice", 0.9, True), ("q25", "l_quantity", 0.25, False))]
-    return parts[0].join(parts[1], "l_returnflag").join(parts[2], "l_returnflag")
+    """Of three groups: only values near the wanted ranks meet in a task."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    return quantiles(items, ["l_returnflag"], {"med": ("l_quantity", 0.5, True), "p90": ("l_extendedprice", 0.9, True), "q25": ("l_quantity", 0.25, False)})
 
 
 @query("SELECT o_custkey, median(o_totalprice) AS med, quantile_disc(o_totalprice, 0.25) AS q25 FROM orders GROUP BY 1")

@@ -1,12 +1,16 @@
-"""Queries over the text tables that need SQL only."""
+"""Queries over the text tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.operators.minhash import near_duplicate_classes
 from lodeframe.plans.registry import query, table
 
+#: Words of a text, A-Z in lower case, as DuckDB cuts them.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS plain FROM pages")
 def text_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +37,14 @@ def text_conversation_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def text_chars_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+ shingles AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) > 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [''] END) AS s FROM docs),
+ sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+ links AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.r != y.r GROUP BY 1, 2) JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE shared >= 0.8 * (p.n + q.n - shared)),
+ reach(r, t) AS (SELECT r, r FROM docs UNION SELECT reach.r, b FROM reach JOIN links ON a = t)
+ SELECT any_value(d.doc_id) AS doc_id, min(e.doc_id) AS class_id FROM reach JOIN docs d ON d.r = reach.r JOIN docs e ON e.r = t GROUP BY reach.r""")
+def text_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 5-word shingles have a Jaccard similarity of 0.8 at least, found by MinHash bands."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
