@@ -338,7 +338,7 @@ def _met_again(requests: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the words that stay, joined by a space)."""
     source = scanned(id_and_text(docs, id_col, text_col))
-    folder = shared_path(docs.sparkSession, "recompression")
+    folder, parts = shared_path(docs.sparkSession, "recompression"), max(1, source.rdd.getNumPartitions())
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block, names = TaskContext.get().partitionId() << 12, _Block(), []
@@ -456,7 +456,8 @@ def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
         def apply(table: pa.Table) -> pa.Table:
             return pa.Table.from_batches(step(table))
 
-        return _met_again(requests).groupBy("block").applyInArrow(apply, schema)
+        # dealt out by their number, not their size: a block's few rows stand for much work
+        return _met_again(requests).repartition(parts, "block").groupBy("block").applyInArrow(apply, schema)
 
     # a round reads the files of the one before, which its shuffle waits for; a task that runs again makes the same rows and files
     requests = of_blocks(source.mapInArrow(first, REQUEST), second, REQUEST)
