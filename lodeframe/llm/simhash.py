@@ -17,8 +17,7 @@ would have to gather the fingerprints of all documents, which grow with the corp
 that join two so far separate sets of a shard are given out (a spanning forest), fewer than the
 shard has members, so groups of copies never become all their pairs.
 
-Components: large-star / small-star contraction over the links (Kiveris et al., "Connected
-Components in MapReduce and Beyond", 2014), each round written to the shared folder.
+Components: large-star / small-star contraction over the links, as in ``operators.components``.
 
 Cases: null text counts as empty; documents without words share the fingerprint zero and are
 linked like any other; rows without an id take part, and component_id is null only where no
@@ -40,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.texts import as_bytes, id_and_text, sliced
+from lodeframe.operators.components import components
 from lodeframe.storage import stored
 
 SEED = 42
@@ -196,10 +196,14 @@ def level_masks(level: int, radius: int) -> list[int]:
     return _ranges(bits, radius + 1)
 
 
-def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known: list[DataFrame] | None = None) -> DataFrame:
+def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known: list[DataFrame] | None = None, apart: DataFrame | None = None) -> DataFrame:
     """``rows`` (t, fp and further columns) with the shards (t, mask, bits) that each is in; ``n`` is
     the number of rows of a table ``t``.  ``known`` takes the keys of the large shards of each level;
-    given again with the same fingerprints, it saves counting them anew."""
+    given again with the same fingerprints, it saves counting them anew.
+
+    Further bits don't split what shares one fingerprint.  Where ``apart`` (node, keys: an array of longs) is given, a
+    shard of more than a quarter of ``limit`` such nodes is dealt out by the keys: a node is in a shard of each of its
+    keys."""
     known = [] if known is None else known
     masks, keys = shard_masks(radius, n, size), ["t", "mask", "bits"]
     wholes = F.create_map(*(F.lit(_signed(x)) for pair in masks.items() for x in pair))
@@ -208,9 +212,14 @@ def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known
     dealt, found = rows.select("*", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).withColumn("bits", bits), []
     for level in range(LEVELS + 1):
         if level == len(known):
-            # what shares one fingerprint isn't split by further bits
-            known.append(stored(dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where((F.col("n") > limit) & (F.col("low") < F.col("high"))).select(*keys), "large"))
-        large = known[level]
+            sizes = dealt.groupBy(*keys).agg(F.count("*").alias("n"), (F.min("fp") == F.max("fp")).alias("one"))
+            known.append(stored(sizes.where(F.col("n") > F.when(F.col("one"), limit // 4).otherwise(limit)).select(*keys, "one"), "large"))
+        large = known[level].where("NOT one").drop("one")
+        if apart is not None and not (same := known[level].where("one").drop("one")).isEmpty():
+            own = dealt.join(same, keys, "left_semi").join(apart, "node")
+            spread = own.select("t", *columns, "mask", F.posexplode("keys").alias("place", "key")).withColumn("bits", F.xxhash64("fp", "place", "key"))
+            found.append(stored(spread.select(*keys, *columns), "spread"))
+            dealt = dealt.join(same, keys, "left_anti")
         if level == LEVELS or large.isEmpty():
             found.append(dealt)
             break
@@ -263,40 +272,6 @@ def _searcher(radius: int):
     return search
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes on ``edges`` (a, b); root is the least node of its component."""
-    stars = stored(edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b").distinct(), "links")
-    seen = _digest(stars)
-    while True:
-        stars = stored(_small_star(_large_star(stars)), "stars")
-        now = _digest(stars)
-        if now == seen:  # each node's only link leads to its component's least node
-            return stars.selectExpr("a AS node", "b AS root").unionByName(stars.selectExpr("b AS node", "b AS root").distinct())
-        seen = now
-
-
-def _digest(stars: DataFrame) -> tuple:
-    """Number and hash of the links: one row, whatever their number."""
-    return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def _joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each (u, v) with the least of u and u's neighbours, m; and (at, m) of each u once.  The latter
-    is stored, so that the join deals both sides out itself and a u of very many v can be split."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS at", "least(u, m) AS m"), "least")
-    return edges.join(least, F.col("u") == F.col("at")), least
-
-
-def _large_star(stars: DataFrame) -> DataFrame:
-    both = stars.selectExpr("a AS u", "b AS v").unionByName(stars.selectExpr("b AS u", "a AS v"))
-    return _joined(both)[0].where("v > u").selectExpr("v AS a", "m AS b").where("a != b").distinct()
-
-
-def _small_star(stars: DataFrame) -> DataFrame:
-    joined, least = _joined(stars.selectExpr("a AS u", "b AS v"))
-    return joined.selectExpr("v AS a", "m AS b").unionByName(least.selectExpr("at AS a", "m AS b")).where("a != b").distinct()
-
-
 def fingerprinted(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: row (a number of its own), doc_id, fp (as a signed long)."""
 

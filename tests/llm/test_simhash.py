@@ -148,6 +148,22 @@ def test_only_texts_that_share_shingles_are_dropped(spark):
     assert got == [10 * k for k in range(12)]
 
 
+def test_orders_of_the_same_words_meet_by_their_shingles(spark):
+    """All share one fingerprint in every table, far more than a shard may have."""
+    random.seed(7)
+    words = [f"w{random.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(120):
+        random.shuffle(words)
+        text = list(words)
+        rows.append((10 * k, " ".join(text)))
+        if k % 3 == 0:  # the same words, a few of them elsewhere, and one word twice
+            rows.append((10 * k + 1, " ".join([*text[1:], text[0]])))
+            rows.append((10 * k + 2, " ".join([*text, text[-1]])))
+    got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=40)
+    assert sorted(r.doc_id for r in got.collect()) == [10 * k for k in range(120)]
+
+
 def test_no_text_is_lost_whatever_the_order(spark):
     random.seed(12)
     a, b, c = (" ".join(f"{k}{random.randrange(10**6)}" for _ in range(30)) for k in "abc")
