@@ -5,13 +5,11 @@ them), the whole text where it has more than one paragraph, and windows.  A pass
 are normalised alike: lower case, every run of characters other than letters and digits a space.
 With A and B their sets of word bigrams, Dice is 2 |A and B| / (|A| + |B|).
 
-A window finds a template anywhere, whatever stands around it or breaks its lines.  It has as many
-words as the template and starts where the bigrams that both have would lie on each other: each
-such bigram names a start (its place in the text less its first place in the template), and a
-start is tried if at least ``AGREE`` of the template's bigrams name it.  A text that reaches the
-threshold shares two thirds of them, so it has such a start unless insertions and deletions split
-them more than three ways.  Of a text's windows for a template the best is given, of equals the
-first; ``number`` is the word at which it starts.
+A window finds a template anywhere, whatever stands around it or breaks its lines: it is any run of as many
+words as the template has (fewer at the text's end).  Of a text's windows for a template the best is given, of
+equals the first; ``number`` is the word at which it starts.  A window that reaches a Dice of t shares at least
+t |B| / (2 - t) bigrams with the template, so the places where a template's bigrams stand in a text, in order, give all
+windows to be tried: those that hold so many places.
 
 Pruning loses nothing.  Dice of at least t needs |B| t / (2 - t) <= |A| <= |B| (2 - t) / t: the size
 bounds under which a template is a candidate.  It also needs t |B| / (2 - t) shared bigrams or
@@ -74,9 +72,6 @@ TEMPLATES = {
 #: Words that are in any English text; a signature takes them last.
 COMMON = set("a all an and any are as at be by following for from in is it may no not of on one or other see that the this to under use with without work you".split())
 
-#: The share of a template's bigrams that must name a window's start.
-AGREE = 0.2
-
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
 
@@ -130,24 +125,26 @@ def _bigrams(passage: Column) -> Column:
     return F.element_at(F.transform(F.array(_normal_words(passage)), lambda w: F.array_distinct(_pairs(w))), 1)
 
 
-def first_places(text: str) -> dict[str, int]:
-    """The first place of each bigram of a template."""
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return {f"{a} {b}": k for k, (a, b) in reversed(list(enumerate(zip(words, words[1:], strict=False))))}
+def n_words(text: str) -> int:
+    return len(re.sub(r"[\W_]+", " ", text).split())
 
 
 def _windows(hit: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """(doc_id, number, license, dice) of each text's best window for each template."""
     spark = hit.sparkSession
-    known = [(name, text, first_places(text)) for name, text in sorted(templates.items()) if len(first_places(text)) > 0]
-    places = F.broadcast(spark.createDataFrame([(b, name, k) for name, _, own in known for b, k in sorted(own.items())], "bigram string, license string, place int"))
-    shapes = F.broadcast(spark.createDataFrame([(name, len(re.sub(r"[\W_]+", " ", text).split()), sorted(own)) for name, text, own in known], "license string, n_words int, b array<string>"))
+    known = [(name, n_words(text), b, ceil(threshold * len(b) / (2 - threshold) - 1e-9)) for name, text in sorted(templates.items()) if (b := template_bigrams(text))]
+    listed = F.broadcast(spark.createDataFrame([(x, name) for name, _, b, _ in known for x in b], "bigram string, license string"))
+    shapes = F.broadcast(spark.createDataFrame(known, "license string, n_words int, b array<string>, least int"))
     # stored, as rows are numbered and used twice
     words = stored(hit.select("doc_id", F.monotonically_increasing_id().alias("row"), _normal_words(F.col("text")).alias("w")), "words")
     each = words.select("row", F.posexplode(_pairs(F.col("w"))).alias("at", "bigram"))
-    starts = each.join(places, "bigram").groupBy("row", "license", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("votes"))
-    tried = starts.join(shapes, "license").where(F.col("votes") >= F.size("b") * AGREE).select("row", "license", F.greatest("start", F.lit(0)).alias("first"), (F.col("start") + F.col("n_words")).alias("last")).distinct()
-    cut = words.join(tried, "row").select("row", "doc_id", "license", "first", F.explode(F.array(F.array_distinct(_pairs(F.slice("w", F.col("first") + 1, F.col("last") - F.col("first")))))).alias("a"))
+    # a text's own places, no more than it has words
+    held = each.join(listed, "bigram").groupBy("row", "license").agg(F.sort_array(F.collect_list("at")).alias("p")).join(shapes.drop("b"), "license").where(F.size("p") >= F.col("least"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("p") - F.col("least")), lambda i: F.struct(F.get("p", i).alias("a"), F.get("p", i + F.col("least") - 1).alias("z"), F.coalesce(F.get("p", i - 1), F.lit(-1)).alias("before")))
+    full = held.select("row", "license", "n_words", F.explode(F.filter(runs, lambda r: r["z"] - r["a"] <= F.col("n_words") - 2)).alias("r"))
+    # starts at or before the place before belong to the run before
+    tried = full.select("row", "license", "n_words", F.explode(F.sequence(F.greatest(F.col("r.z") - F.col("n_words") + 2, F.col("r.before") + 1), F.col("r.a"))).alias("first"))
+    cut = words.join(tried, "row").select("row", "doc_id", "license", "first", F.explode(F.array(F.array_distinct(_pairs(F.slice("w", F.col("first") + 1, F.col("n_words")))))).alias("a"))
     scored = cut.join(shapes, "license").select("row", "doc_id", "license", "first", (2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))).alias("dice")).where(F.col("dice") >= threshold)
     best = scored.groupBy("row", "license").agg(F.max(F.struct("dice", (-F.col("first")).alias("place"), "doc_id")).alias("best"))
     return best.select("best.doc_id", (-F.col("best.place")).cast("long").alias("number"), "license", "best.dice")
@@ -182,11 +179,10 @@ def oracle_sql(templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) ->
     """The same scan in DuckDB SQL, without the pruning."""
     listed = lambda bigrams: ", ".join(f"'{b}'" for b in bigrams)
     values = ", ".join(f"('{name}', [{listed(template_bigrams(text))}])" for name, text in sorted(templates.items()))
-    places = ", ".join(f"('{name}', {len(re.sub(r'[^a-z0-9]+', ' ', text.lower()).split())}, [{listed(own)}], [{', '.join(map(str, own.values()))}])" for name, text in sorted(templates.items()) for own in (first_places(text),))
+    lengths = ", ".join(f"('{name}', {n_words(text)})" for name, text in sorted(templates.items()))
     return f"""
 WITH templates(license, b) AS (VALUES {values}),
-ordered(license, n_words, bigrams, places) AS (VALUES {places}),
-placed AS (SELECT license, n_words, len(bigrams) AS size, unnest(bigrams) AS bigram, unnest(places) AS place FROM ordered),
+lengths(license, n_words) AS (VALUES {lengths}),
 texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 split_up AS (
   SELECT doc_id, 'line' AS kind, string_split(text, chr(10)) AS parts FROM texts
@@ -200,12 +196,9 @@ scored AS (
   FROM pairs JOIN templates ON len(a) BETWEEN len(b) * {threshold} / (2 - {threshold}) - 1e-9 AND len(b) * (2 - {threshold}) / {threshold} + 1e-9),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, number ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {threshold}),
 words AS (SELECT row, doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM texts),
-each AS (SELECT row, unnest(range(len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM words),
-tried AS (
-  SELECT DISTINCT row, license, greatest(start, 0) AS first, start + n_words AS last
-  FROM (SELECT row, license, pos - place AS start, any_value(n_words) AS n_words, any_value(size) AS size, count(*) AS votes FROM each JOIN placed USING (bigram) GROUP BY ALL)
-  WHERE votes >= size * {AGREE}),
-windows AS (SELECT row, doc_id, license, first, w[first + 1 : last] AS v FROM tried JOIN words USING (row)),
+own AS (SELECT row, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM words),
+tried AS (SELECT row, license, n_words, unnest(range(len(g))) AS first FROM own, templates JOIN lengths USING (license) WHERE len(list_intersect(g, b)) >= len(b) * {threshold} / (2 - {threshold}) - 1e-9),
+windows AS (SELECT row, doc_id, license, first, w[first + 1 : first + n_words] AS v FROM tried JOIN words USING (row)),
 sets AS (SELECT row, doc_id, license, first, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS a FROM windows),
 rated AS (SELECT row, doc_id, license, first, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets JOIN templates USING (license)),
 top AS (SELECT *, row_number() OVER (PARTITION BY row, license ORDER BY dice DESC, first) AS r FROM rated WHERE dice >= {threshold})

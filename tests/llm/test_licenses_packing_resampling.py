@@ -49,6 +49,22 @@ def test_whole_licences_and_headers_above_code_are_found(spark):
         assert name in {r.license for r in got if r.doc_id == k}, name
 
 
+@pytest.mark.parametrize("inserted", [6, 12, 20])
+def test_words_inserted_all_over_a_licence_do_not_hide_it(spark, inserted):
+    """The whole text on one line among others: its best window is found, however many pieces it is in."""
+    words = TEMPLATES["BSD-3-Clause-full"].split()
+    for k in range(inserted):
+        words.insert((k + 1) * len(words) // (inserted + 1), f"extra{k}")
+    text = " ".join([*(f"before{k}" for k in range(200)), *words, *(f"after{k}" for k in range(200))])
+    found = {r.license: (r.number, r.dice) for r in license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect() if r.kind == "window"}
+    w, b = re.sub(r"[\W_]+", " ", text.lower()).split(), set(template_bigrams(TEMPLATES["BSD-3-Clause-full"]))
+    n = len(re.sub(r"[\W_]+", " ", TEMPLATES["BSD-3-Clause-full"]).split())
+    cut = lambda i: {" ".join(x) for v in [w[i : i + n]] for x in zip(v, v[1:], strict=False)}
+    best = max((2 * len(cut(i) & b) / (len(cut(i)) + len(b)), -i) for i in range(len(w)))
+    assert found.get("BSD-3-Clause-full") == ((-best[1], pytest.approx(best[0])) if best[0] >= 0.8 else None)
+    assert inserted > 12 or "BSD-3-Clause-full" in found
+
+
 def test_clashing_columns_and_ties(spark, odd):
     assert license_scan(odd).columns == ["doc_id", "kind", "number", "license", "dice"]
     same = {"B": "one two three four", "A": "one two three four"}
