@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 
 @F.pandas_udf(T.DoubleType())
@@ -43,3 +44,40 @@ class Words:
     def eval(self, text: str) -> Iterator[tuple[str, int]]:
         for word in (text or "").split(" "):
             yield word, len(word)
+
+
+@F.udtf
+class Sessions:
+    """A table function of a table: the sessions of each key, its rows in the order of time.
+
+    The schema follows the key column's type, and the partitioning and order are the function's own, so a
+    caller can't leave them out.
+    """
+
+    def __init__(self):
+        self.open = None
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, at: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or not isinstance(rows.dataType, T.StructType):
+            raise ValueError("the first argument is a table")
+        names = rows.dataType.fieldNames()
+        for name in (key.value, at.value):
+            if name not in names:
+                raise ValueError(f"no column {name}")
+        schema = T.StructType([T.StructField(key.value, rows.dataType[key.value].dataType), T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn(key.value)], orderBy=[OrderingColumn(at.value)])
+
+    def eval(self, row, key: str, at: str, gap: int) -> Iterator[tuple]:
+        if self.open and row[at] <= self.open[2] + gap:
+            self.open[2:] = [row[at], self.open[3] + 1]
+            return
+        yield from self._closed()
+        self.open = [row[key], row[at], row[at], 1]
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self._closed()
+
+    def _closed(self) -> Iterator[tuple]:
+        if self.open:
+            yield self.open[0], self.open[1], self.open[3]

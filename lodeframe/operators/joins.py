@@ -65,3 +65,35 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16) -
     dealt = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], tolerance: int, direction: str = "nearest") -> DataFrame:
+    """Each left row with ``values`` of the right row of the same key whose time is nearest, within ``tolerance``
+    seconds; ``direction`` "forward" takes the first that isn't earlier, "backward" the last that isn't later.
+
+    Of two equally near the earlier is taken, of several at one time the greatest values.  A right row is dealt to its
+    bin of that width and the ones beside it, so only rows that are near meet and nothing is carried along.
+    Left rows without a key, a time or a partner are kept with nulls.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = time_bin(ts, tolerance)
+    rights = right.dropna(subset=[*by, ts]).groupBy(*by, ts).agg(F.max(F.struct(*values)).alias("__values"))
+    found = F.struct(F.col(ts).alias("ts"), at.alias("at"), F.col("__values").alias("v"))
+    spread = rights.select(*by, F.explode(F.array(own - 1, own, own + 1)).alias("__bin"), at.alias("__at"), F.lit(0).alias("__side"), found.alias("__right"))
+    lefts = left.select(*left.columns, own, at.alias("__at"), F.lit(1).alias("__side"))
+    both = lefts.unionByName(spread, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__bin").orderBy("__at", "__side")
+    back = F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("__right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # at an equal time the right row stands before the left one, so only ``back`` sees it
+    placed = both.select("*", back.alias("__back"), ahead.alias("__ahead")).where("__side = 1")
+    near = lambda side: F.abs(F.col(f"{side}.at") - F.col("__at"))
+    fits = lambda side: near(side) <= tolerance * 1_000_000
+    b, a = F.when(fits("__back"), F.col("__back")), F.when(fits("__ahead"), F.col("__ahead"))
+    chosen = {
+        "backward": b,
+        "forward": F.when(near("__back") == 0, F.col("__back")).otherwise(a),
+        "nearest": F.when(a.isNull() | (near("__back") <= near("__ahead")), b).otherwise(a),
+    }[direction]
+    picked = placed.select(*left.columns, chosen.alias("__found"))
+    return picked.select(*left.columns, F.col("__found.ts").alias(f"{ts}_matched"), *(F.col(f"__found.v.{v}").alias(v) for v in values))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.statistics import sample_skewness
 from lodeframe.operators.ranks import quantiles
 from lodeframe.plans.registry import query, table
+from lodeframe.storage import stored
 
 
 @query("SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers, sum(o_totalprice) AS total, avg(o_totalprice) AS mean, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1")
@@ -111,3 +112,15 @@ def agg_decimal_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HyperLogLog++: no exact counterpart; tests hold it to its error bound."""
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"), F.percentile_approx("o_totalprice", 0.5, 10000).alias("med"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT date_trunc('day', ts)) AS days, true AS within FROM events GROUP BY 1")
+def agg_mergeable_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch of each type and day is stored; the days' sketches are united later, without their rows.  ``within``: the
+    estimate is within three standard errors of the exact count."""
+    events = table(spark, sf_dir, "events")
+    daily = stored(events.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.hll_sketch_agg("user_id", 12).alias("sketch")), "sketches")
+    united = daily.groupBy("event_type").agg(F.count("*").alias("days"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    error = 3 * 1.04 / 2**6  # of 2 ** 12 registers
+    return exact.join(united, "event_type").select("event_type", "users", "days", (F.abs(F.col("about") - F.col("users")) <= error * F.col("users") + 1).alias("within"))

@@ -63,9 +63,16 @@ def project_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 100).try_cast("int").cast("long").alias("brand_no"), F.col("p_type").try_cast("int").cast("long").alias("none"))
 
 
-@query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n::BIGINT AS n, f FROM t")
+_TRIP = """WITH RECURSIVE next AS (SELECT n_nationkey AS k, n_regionkey AS r, n_name AS name, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS following, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM {nation}),
+ trip(k, r, following, path, hops) AS (SELECT k, r, following, name, 1 FROM next WHERE place = 1 UNION ALL SELECT n.k, n.r, n.following, concat(path, '>', n.name), hops + 1 FROM trip t JOIN next n ON n.k = t.following)
+ SELECT CAST(k AS BIGINT) AS k, CAST(r AS BIGINT) AS r, path, CAST(hops AS BIGINT) AS hops FROM trip"""
+
+
+@query(_TRIP.format(nation="nation"))
 def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT CAST(n AS BIGINT) AS n, f FROM t")
+    """A trip through each region's nations, one more with each step."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lf_nation_trip")
+    return spark.sql(_TRIP.format(nation="lf_nation_trip"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")

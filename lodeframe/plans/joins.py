@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.operators.joins import asof_join, interval_join, range_join, salted_join
+from lodeframe.operators.joins import asof_join, asof_nearest, interval_join, range_join, salted_join
 from lodeframe.plans.registry import query, table
 
 
@@ -119,3 +119,18 @@ def join_by_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of fixed size goes to all tasks, so the other side isn't shuffled."""
     nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     return table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+def _near_query(direction: str, condition: str, order: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = table(spark, sf_dir, "events")
+        left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+        return asof_nearest(left, events.where("event_type = 'click'"), ["user_id"], "ts", ["value"], 86_400, direction).select("event_id", "ts_matched", "value")
+
+    run.__name__ = f"join_asof_{direction}"
+    query(f"""SELECT event_id, ts_matched, value FROM (SELECT a.event_id, b.ts AS ts_matched, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY {order}, b.value DESC) AS r
+ FROM (SELECT * FROM events WHERE event_type = 'purchase') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND {condition}) WHERE r = 1""")(run)
+
+
+_near_query("nearest", "abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 86400000000", "abs(epoch_us(b.ts) - epoch_us(a.ts)), b.ts")
+_near_query("forward", "b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY", "b.ts")

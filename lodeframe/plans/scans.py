@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeframe.plans.registry import query, table
 from lodeframe.sources.formats import bucketed, partitioned, round_trip
-from lodeframe.sources.generated import register_series
+from lodeframe.sources.segments import register_segments
 from lodeframe.storage import shared_path
+from lodeframe.streaming.runner import to_table
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
@@ -53,21 +54,41 @@ def scan_partition_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitioned(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_orderstatus").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query("SELECT n::BIGINT AS n, (n * n)::BIGINT AS square FROM range(100) AS r(n)")
+def _segments(spark: SparkSession, sf_dir: str, commits: int = 1) -> tuple[str, DataFrame]:
+    """The events as a log of segments, sorted by id, in so many commits."""
+    register_segments(spark)
+    events, path = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), shared_path(spark, "segments")
+    for k in range(commits):
+        own = events.where(F.pmod(F.xxhash64("user_id"), F.lit(commits)) == k)
+        own.repartitionByRange(4, "event_id").write.format("segments").option("path", path).option("key", "event_id").mode("append").save()
+    return path, events
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id BETWEEN 100 AND 899 AND event_type = 'click'")
 def scan_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source written against the Python data source interface."""
-    register_series(spark)
-    return spark.read.format("series").option("rows", "100").option("parts", "4").load()
+    """A source and sink written against the Python data source interface; bounds of its key are pushed into it."""
+    path, events = _segments(spark, sf_dir)
+    return spark.read.format("segments").schema(events.schema).option("path", path).option("key", "event_id").load().where("event_id >= 100 AND event_id < 900 AND event_type = 'click'")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def stream_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stream, whose offsets are its commits."""
+    path, events = _segments(spark, sf_dir, commits=3)
+    return to_table(spark.readStream.format("segments").schema(events.schema).option("path", path).option("key", "event_id").load(), "append")
 
 
-@query("SELECT i::BIGINT AS id FROM range(3, 1000, 7) AS r(i)")
+@query("SELECT i::BIGINT AS id, count(p_partkey) AS parts FROM range(1, 60) AS r(i) LEFT JOIN part ON p_size = i GROUP BY 1")
 def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(3, 1000, 7)
+    """A range of numbers beside a table: sizes that no part has are there, too."""
+    parts = table(spark, sf_dir, "part").select("p_size", "p_partkey")
+    return spark.range(1, 60).join(parts, F.col("p_size") == F.col("id"), "left").groupBy("id").agg(F.count("p_partkey").alias("parts"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a'), (2::BIGINT, NULL)) AS t(k, v)")
+@query("SELECT name, count(*) AS orders FROM orders JOIN (VALUES ('F', 'filled'), ('O', 'open'), ('P', NULL)) AS t(code, name) ON o_orderstatus = code GROUP BY 1")
 def scan_inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    names = spark.createDataFrame([("F", "filled"), ("O", "open"), ("P", None)], "code string, name string")
+    return table(spark, sf_dir, "orders").join(F.broadcast(names), F.col("o_orderstatus") == F.col("code")).groupBy("name").agg(F.count("*").alias("orders"))
 
 
 @query("SELECT count(DISTINCT n_regionkey) AS files, count(*) AS names FROM nation")

@@ -57,3 +57,12 @@ def udf_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("lf_words", udfs.Words)
     table(spark, sf_dir, "benchmark").createOrReplaceTempView("lf_benchmark")
     return spark.sql("SELECT item_id, w.word, w.length FROM lf_benchmark, LATERAL lf_words(text) AS w")
+
+
+@query("""SELECT user_id, min(at_s) AS start, count(*) AS n FROM (SELECT user_id, at_s, sum(CASE WHEN before IS NULL OR at_s > before + 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_s) AS session
+ FROM (SELECT user_id, at_s, lag(at_s) OVER (PARTITION BY user_id ORDER BY at_s) AS before FROM (SELECT user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS at_s FROM events))) GROUP BY user_id, session""")
+def udf_table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function that takes a table, dealt out and ordered by what it says of itself."""
+    spark.udtf.register("lf_sessions", udfs.Sessions)
+    table(spark, sf_dir, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at")).createOrReplaceTempView("lf_times")
+    return spark.sql("SELECT * FROM lf_sessions(TABLE(lf_times), 'user_id', 'at', 21600)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeframe.operators.frames import groups_frame
 from lodeframe.operators.ranks import counts_in_range
 from lodeframe.plans.registry import query, table
 
@@ -66,6 +67,20 @@ def window_exclude_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.count("*").over(Window.partitionBy("o_custkey")) - 1).alias("others"))
 
 
+def _groups_query(exclude: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.round("o_totalprice").cast("long").alias("price"), F.floor(F.col("o_orderkey") % 4).alias("rank"))
+        return groups_frame(orders, ["o_custkey"], "rank", "price", 1, 2, exclude).select("o_orderkey", "n", "total", "low", "high")
+
+    run.__name__ = f"window_exclude_{exclude.replace(' ', '_')}_of_groups"
+    frame = f"(PARTITION BY o_custkey ORDER BY o_orderkey % 4 GROUPS BETWEEN 1 PRECEDING AND 2 FOLLOWING EXCLUDE {exclude.upper()})"
+    query(f"SELECT o_orderkey, count(price) OVER w AS n, sum(price) OVER w::BIGINT AS total, min(price) OVER w AS low, max(price) OVER w AS high FROM (SELECT *, round(o_totalprice)::BIGINT AS price FROM orders) WINDOW w AS {frame}")(run)
+
+
+for _exclude in ("current row", "group", "ties"):
+    _groups_query(_exclude)
+
+
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events")
 def window_interval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id", "count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day")

@@ -33,7 +33,7 @@ def test_approximate_distinct_is_within_its_error(spark):
     exact = {r[0]: r[1] for r in orders.groupBy("o_orderstatus").agg({"o_custkey": "count"}).collect()}
     for r in registry.queries()["agg_approx_distinct"](spark, SF).collect():
         distinct = orders.where(orders.o_orderstatus == r["o_orderstatus"]).select("o_custkey").distinct().count()
-        assert abs(r["customers"] - distinct) <= max(3, 0.1 * distinct) <= exact[r["o_orderstatus"]]
+        assert abs(r["customers"] - distinct) <= max(1, 0.06 * distinct) <= exact[r["o_orderstatus"]]
 
 
 def test_plans_push_filters_and_columns(spark):
