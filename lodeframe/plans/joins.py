@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.operators.joins import asof_join, asof_nearest, interval_join, range_join, salted_join
 from lodeframe.plans.registry import query, table
+from lodeframe.sources.formats import partitioned
 
 
 @query("SELECT c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 200000")
@@ -134,3 +137,30 @@ def _near_query(direction: str, condition: str, order: str) -> None:
 
 _near_query("nearest", "abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 86400000000", "abs(epoch_us(b.ts) - epoch_us(a.ts)), b.ts")
 _near_query("forward", "b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY", "b.ts")
+
+
+_FOUR_TABLES = """SELECT o_orderkey, count(*) AS items, sum(l_quantity) AS quantity FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+ WHERE n_name = 'NATION_3' GROUP BY 1"""
+_KEYS = {"lineitem": ["l_orderkey", "l_quantity"], "orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey", "n_name"]}
+
+
+@query(_FOUR_TABLES.format(**{name: name for name in _KEYS}))
+def join_ordered_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written from the largest table to the smallest; column statistics let the optimizer begin with the nation.  The settings are
+    those of a session of its own."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.cbo.enabled", "true")
+    own.conf.set("spark.sql.cbo.joinReorder.enabled", "true")
+    names = {name: f"analyzed_{name}_{uuid.uuid4().hex}" for name in _KEYS}
+    for name, columns in _KEYS.items():
+        table(own, sf_dir, name).select(*columns).write.saveAsTable(names[name])
+        own.sql(f"ANALYZE TABLE {names[name]} COMPUTE STATISTICS FOR COLUMNS {', '.join(columns)}")
+    return own.sql(_FOUR_TABLES.format(**names))
+
+
+@query("SELECT n_name, count(*) AS customers, sum(c_acctbal) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1")
+def join_prunes_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers laid out by nation: only the partitions of the nations that the other side's filter keeps are read."""
+    people = partitioned(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_nationkey")
+    nations = table(spark, sf_dir, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name")
+    return people.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"), F.sum("c_acctbal").alias("balance"))

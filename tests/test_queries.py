@@ -59,3 +59,16 @@ def test_partition_pruning(spark):
     plan = registry.queries()["scan_partition_pruning"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
 
+
+def test_statistics_order_joins(spark):
+    df = registry.queries()["join_ordered_by_statistics"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the deepest relations are joined first
+    depth = {name: min(len(x) - len(x.lstrip(" :+-")) for x in plan.splitlines() if f"analyzed_{name}_" in x) for name in ("lineitem", "orders", "customer", "nation")}
+    assert min(depth["nation"], depth["customer"]) > depth["orders"] > depth["lineitem"]
+    assert spark.conf.get("spark.sql.cbo.enabled") == "false"
+
+
+def test_a_filter_of_the_other_side_prunes_partitions(spark):
+    plan = registry.queries()["join_prunes_partitions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
