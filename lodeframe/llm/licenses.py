@@ -144,7 +144,9 @@ def _windows(hit: DataFrame, templates: dict[str, str], threshold: float) -> Dat
     full = held.select("row", "license", "n_words", F.explode(F.filter(runs, lambda r: r["z"] - r["a"] <= F.col("n_words") - 2)).alias("r"))
     # starts at or before the place before belong to the run before
     tried = full.select("row", "license", "n_words", F.explode(F.sequence(F.greatest(F.col("r.z") - F.col("n_words") + 2, F.col("r.before") + 1), F.col("r.a"))).alias("first"))
-    cut = words.join(tried, "row").select("row", "doc_id", "license", "first", F.explode(F.array(F.array_distinct(_pairs(F.slice("w", F.col("first") + 1, F.col("n_words")))))).alias("a"))
+    # the window by itself first: what works on its words would unpack the whole text for each
+    own = words.join(tried, "row").select("row", "doc_id", "license", "first", F.explode(F.array(F.slice("w", F.col("first") + 1, F.col("n_words")))).alias("v"))
+    cut = own.select("row", "doc_id", "license", "first", F.explode(F.array(F.array_distinct(_pairs(F.col("v"))))).alias("a"))
     scored = cut.join(shapes, "license").select("row", "doc_id", "license", "first", (2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))).alias("dice")).where(F.col("dice") >= threshold)
     best = scored.groupBy("row", "license").agg(F.max(F.struct("dice", (-F.col("first")).alias("place"), "doc_id")).alias("best"))
     return best.select("best.doc_id", (-F.col("best.place")).cast("long").alias("number"), "license", "best.dice")
