@@ -13,9 +13,10 @@ equal sets are one node.
    pair in shards with few of them, else in blocks of nodes that meet once.  A block gives only the
    links that join its components, so no group of copies becomes all its pairs.
 
-Texts of the same words in other orders share all fingerprints without being near.  Shards of more than a quarter of ``limit``
-nodes of one fingerprint are therefore dealt out by MinHash bands of the shingles (12 bands of 4 rows: of pairs
-at 0.8, 99.8 % share one), and only nodes that share a band meet.
+Texts of the same words in other orders share all fingerprints without being near.  In shards of more than a quarter of
+``limit`` nodes of one fingerprint the pairs of step 2 are therefore those that share a shingle among the rarest of each
+(prefix filtering), which all pairs do that reach the threshold.  So a link depends on its two texts only, not on how
+many others there are.
 
 Of each component one row stays: the one with the least id (a null id last), of several the least
 by a hash of the text; nothing depends on the rows' order, but for rows that are equal in both.
@@ -29,31 +30,30 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from functools import reduce
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.simhash import SEED, BKTree, distinct_words, fingerprints, in_shards, in_turn, shingles
+from lodeframe.llm.simhash import LANES, SEED, BKTree, distinct_words, fingerprints, in_shards, in_turn, shingles
 from lodeframe.llm.texts import as_bytes, sliced
 from lodeframe.operators.components import components
-from lodeframe.operators.minhash import band_keys, hash_functions, signature
 from lodeframe.storage import sieved, stored
 
 #: Nodes, and shingles in their sets, of a part of a block.
 PART_NODES, PART_SHINGLES = 1024, 1_000_000
-#: Bands of a node's MinHash signature, and rows of a band.
-BANDS, BAND_ROWS = 12, 4
 #: A shard with more open pairs than so many a node is compared in blocks.
 DENSE = 1
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """The sorted hashes of the distinct shingles."""
-    return np.array(sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, width)}), np.uint64)
+    own = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, width), repeat(SEED)), np.uint64))
+    return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
 def _digest_of(own: np.ndarray) -> bytes:
@@ -125,18 +125,36 @@ class Shard:
                     yield [node for node, _ in x], [node for node, _ in y] if j < i else []
 
 
+def near_any(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the sorted fingerprints have another (or their own once more) within the radius."""
+    new = np.append(True, fps[1:] != fps[:-1])
+    own, counts = fps[new], np.diff(np.append(np.flatnonzero(new), len(fps)))
+    step = max(1, LANES // len(own))
+    near = [(np.bitwise_count(own[k : k + step, None] ^ own) <= radius).sum(axis=1) > 1 for k in range(0, len(own), step)]
+    return np.repeat(np.concatenate(near) | (counts > 1), counts)
+
+
 def each_shard(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[tuple[int, int, int], Shard]]:
-    """The shards of several nodes, from rows that come shard by shard."""
-    last, members = None, []
+    """The shards, from rows that come shard by shard and in them by fingerprint, of those nodes that have another
+    within the radius."""
+    names = ("t", "mask", "bits", "fp", "node", "size", "root")
+
+    def shards_of(rows: np.ndarray, starts: list[int]) -> Iterator[tuple[tuple[int, int, int], Shard]]:
+        for start, end in zip(starts, [*starts[1:], rows.shape[1]], strict=True):
+            if end - start > 1 and (near := near_any(np.sort(rows[3, start:end].view(np.uint64)), radius)).any():
+                own = rows[3:, start:end]
+                own = own[:, np.argsort(own[0].view(np.uint64), kind="stable")][:, near]
+                yield tuple(rows[:3, start].tolist()), Shard([(fp & 0xFFFFFFFFFFFFFFFF, *x) for fp, *x in own.T.tolist()], radius)
+
+    held = np.zeros((len(names), 0), np.int64)
     for batch in batches:
-        for t, mask, bits, *own in zip(*(batch.column(c).to_pylist() for c in ("t", "mask", "bits", "fp", "node", "size", "root")), strict=True):
-            if (t, mask, bits) != last:
-                if len(members) > 1:
-                    yield last, Shard(members, radius)
-                last, members = (t, mask, bits), []
-            members.append((own[0] & 0xFFFFFFFFFFFFFFFF, *own[1:]))
-    if len(members) > 1:
-        yield last, Shard(members, radius)
+        held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+        starts = [0, *(np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1).tolist()]
+        if len(starts) > 1:  # the last shard may go on
+            yield from shards_of(held[:, : starts[-1]], starts[:-1])
+            held = held[:, starts[-1] :].copy()
+    if held.shape[1]:
+        yield from shards_of(held, [0])
 
 
 def _batches(rows: Iterator[tuple], names: list[str], n: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -152,9 +170,8 @@ def _sets(used: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(shingle_set(x, width).astype(np.uint32)).tobytes() for x in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "own"])
 
-    wanted = stored(used.distinct(), "wanted")
-    near = sieved(texts.select(F.col("row").alias("node"), "text"), wanted, "node")[1]
-    own = near.join(wanted, "node", "left_semi").mapInArrow(cut, "node long, own binary")
+    near = sieved(texts.select(F.col("row").alias("node"), "text"), used, "node")[1]
+    own = near.join(used, "node", "left_semi").mapInArrow(cut, "node long, own binary")
     return stored(own, "sets")
 
 
@@ -212,14 +229,43 @@ def _tested_blocks(blocks: DataFrame, sets: DataFrame, about: DataFrame, radius:
     return rows.select("block", "t", "side", "node", "root", "fps", "own").groupBy("block").applyInArrow(compare, "a long, b long")
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, root, fps) of different roots and within the radius, all that can reach the threshold among them.
+
+    Sets x and y, x the smaller, reach a similarity of s only if they share s / (1 + s) * (|x| + |y|) shingles, 2 s / (1 + s) |x|
+    at least.  So, in any order that is the same for both, they share one of the first |y| - s |y| + 1 of y that is among the
+    first |x| - 2 s / (1 + s) |x| + 1 of x.  The order is by the number of nodes that hold a shingle, so such groups are small."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, own in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "own")), strict=True):
+                held = np.frombuffer(own, np.uint32).astype(np.int64)
+                columns = [np.full(len(held), node), np.full(len(held), root), np.full(len(held), len(held)), held]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "root", "n", "s"])
+
+    rows = stored(nodes.select("node", "root").join(sets, "node").mapInArrow(spread, "node long, root long, n long, s long"), "spread")
+    # stored, so that the join deals both sides out itself and can split a common shingle
+    counts = stored(rows.groupBy("s").agg(F.count("*").alias("c"), (F.min("root") < F.max("root")).alias("open")), "counts")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "s"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
+    ranked = rows.join(counts, "s").withColumn("place", place).where(F.col("open") & (F.col("place") <= first(threshold)))
+    keys = stored(ranked.select("s", "node", "root", "n", (F.col("place") <= first(2 * threshold / (1 + threshold))).alias("indexed")), "keys")
+    x, y = (keys.select("s", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "n", "indexed"))) for side in "xy")
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node")))
+    met = x.where("x_indexed").join(y, "s").where(smaller & (F.col("x_root") != F.col("y_root")) & (F.col("x_n") >= F.col("y_n") * threshold - 1e-6))
+    pairs = stored(met.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct(), "met")
+    both = pairs.join(nodes.selectExpr("node AS a", "fps AS x"), "a").join(nodes.selectExpr("node AS b", "fps AS y"), "b")
+    return both.where(F.exists(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)) <= radius), lambda near: near)).select("a", "b")
+
+
 def confirmed_roots(nodes: DataFrame, texts: DataFrame, radius: int, size: int, limit: int, width: int, threshold: float, dense: int = DENSE) -> DataFrame | None:
-    """(node, root) of the nodes (node, fps, size, bands) that a tested link joins to others; None if no
+    """(node, root) of the nodes (node, fps, size) that a tested link joins to others; None if no
     link was found."""
     n, known = nodes.count(), []
 
-    def shards(rooted: DataFrame) -> DataFrame:
+    def shards(rooted: DataFrame, apart: list[DataFrame]) -> DataFrame:
         each = rooted.select("node", "size", "root", F.posexplode("fps").alias("t", "fp"))
-        return in_turn(in_shards(each, n, radius, size, limit, known, nodes.select("node", F.col("bands").alias("keys"))))
+        return in_turn(in_shards(each, n, radius, size, limit, known, apart))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches((pair for _, shard in each_shard(batches, radius) for pair in shard.first_pairs()), ["a", "b"])
@@ -235,20 +281,33 @@ def confirmed_roots(nodes: DataFrame, texts: DataFrame, radius: int, size: int,
             block = xxhash.xxh64_intdigest(repr((*key, k)).encode()) >> 1
             yield from ((node, None, block, key[0], side) for side in (0, 1) for node in sides[side])
 
-    pairs = stored(shards(nodes.withColumn("root", F.col("node"))).mapInArrow(first, "a long, b long").distinct(), "pairs")
-    sets = _sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), texts, width)
+    apart: list[DataFrame] = []
+    pairs = shards(nodes.withColumn("root", F.col("node")), apart).mapInArrow(first, "a long, b long")
+    same = None
+    if apart:
+        same = stored(reduce(DataFrame.unionByName, (x.select("t", "fp", "node") for x in apart)).distinct(), "same")
+        hubs = stored(same.groupBy("t", "fp").agg(F.min("node").alias("b")), "hubs")
+        pairs = pairs.unionByName(same.join(hubs, ["t", "fp"]).where("node != b").select(F.col("node").alias("a"), "b"))
+    pairs = stored(pairs.distinct(), "pairs")
+    used = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = _sets(used, texts, width)
     links = stored(_tested(pairs, sets, threshold), "tested")
     if links.isEmpty():
         roots = nodes.select("node", F.col("node").alias("root"))
     else:
         roots = stored(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    more = stored(shards(nodes.join(roots, "node")).mapInArrow(rest, "a long, b long, block long, t long, side long").distinct(), "more")
-    # each node that is near another has been in a pair, so its set is there
+    about = stored(nodes.join(used, "node", "left_semi").join(roots, "node"), "about")
+    # each node that is near another has been in a pair, so the others needn't be looked at again, and its set is there
+    more = stored(shards(about, []).mapInArrow(rest, "a long, b long, block long, t long, side long").distinct(), "more")
     tested = pairs.select("a", "b", F.lit(True).alias("tested"))
-    open_pairs = stored(more.where("block IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "open")
-    about = nodes.select("node", "fps").join(roots, "node")
+    met = more.where("block IS NULL").select("a", "b")
+    if same is not None:
+        mixed = same.join(about.select("node", "root"), "node").groupBy("t", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_nodes = stored(about.join(same.join(stored(mixed.select("t", "fp"), "mixed"), ["t", "fp"], "left_semi").select("node").distinct(), "node", "left_semi").select("node", "root", "fps"), "open-nodes")
+        met = met.unionByName(_prefix_pairs(open_nodes, sets, radius, threshold)).distinct()
+    open_pairs = stored(met.join(tested, ["a", "b"], "left_anti"), "open")
     blocks = more.where("block IS NOT NULL").select("block", "t", "side", F.col("a").alias("node"))
-    further = stored(_tested(open_pairs, sets, threshold).unionByName(_tested_blocks(blocks, sets, about, radius, threshold)), "further")
+    further = stored(_tested(open_pairs, sets, threshold).unionByName(_tested_blocks(blocks, sets, about.select("node", "fps", "root"), radius, threshold)), "further")
     every = links.unionByName(further)
     if further.isEmpty():
         return None if links.isEmpty() else roots
@@ -262,18 +321,17 @@ def drop_near_duplicates(docs: DataFrame, tables: int = 8, radius: int = 3, size
     texts = numbered.select("row", F.col("held")[id_col].cast("long").alias("doc_id"), F.coalesce(F.col("held")[text_col], F.lit("")).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        functions = hash_functions(BANDS * BAND_ROWS)
         for batch in sliced(batches):
             texts = as_bytes(batch.column("text"))
             prints = fingerprints(texts, distinct_words, tables).view(np.int64)
             sets = [shingle_set(x, width) for x in texts]
-            columns = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "fps": pa.array(prints.tolist(), pa.list_(pa.int64())), "size": pa.array(list(map(len, sets)), pa.int64()), "bands": pa.array([band_keys(signature(x, functions), BAND_ROWS) for x in sets], pa.list_(pa.int64())), "digest": pa.array(list(map(_digest_of, sets)), pa.binary()), "text_hash": pa.array([xxhash.xxh64_intdigest(x, SEED) >> 1 for x in texts], pa.int64())}
+            columns = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "fps": pa.array(prints.tolist(), pa.list_(pa.int64())), "size": pa.array(list(map(len, sets)), pa.int64()), "digest": pa.array(list(map(_digest_of, sets)), pa.binary()), "text_hash": pa.array([xxhash.xxh64_intdigest(x, SEED) >> 1 for x in texts], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    prints = stored(texts.mapInArrow(hashed, "row long, doc_id long, fps array<long>, size long, bands array<long>, digest binary, text_hash long"), "prints")
+    prints = stored(texts.mapInArrow(hashed, "row long, doc_id long, fps array<long>, size long, digest binary, text_hash long"), "prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "row")).alias("best")
     # texts with equal sets may have other words' counts, so the fingerprints are those of one row
-    nodes = stored(prints.groupBy("digest").agg(best, F.min_by(F.struct("fps", "size", "bands"), "row").alias("own"), F.min("row").alias("node")).select("node", "best", "own.*"), "nodes")
+    nodes = stored(prints.groupBy("digest").agg(best, F.min_by(F.struct("fps", "size"), "row").alias("own"), F.min("row").alias("node")).select("node", "best", "own.*"), "nodes")
     roots = confirmed_roots(nodes.where("size > 0"), texts, radius, size, limit, width, threshold, dense)
     if roots is not None:
         nodes = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.min("best").alias("best"))

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
+from itertools import repeat
 from math import ceil, log2
 from random import Random
 
@@ -64,8 +65,7 @@ def distinct_words(text: bytes) -> list[bytes]:
 def fingerprints(texts: list[bytes], features: Callable[[bytes], list[bytes]], tables: int = 1) -> np.ndarray:
     """The 64-bit fingerprints of each text, one column per table.  The first table takes the
     features' XXH64, the others mix it anew."""
-    digest = xxhash.xxh64_intdigest
-    hashes = [np.array([digest(x, SEED) for x in features(text)], "<u8") for text in texts]
+    hashes = [np.fromiter(map(xxhash.xxh64_intdigest, features(text), repeat(SEED)), np.uint64) for text in texts]
     out = np.zeros((len(texts), tables), np.uint64)
     start = 0
     while start < len(texts):  # as many texts at a time as fit the lanes
@@ -73,8 +73,7 @@ def fingerprints(texts: list[bytes], features: Callable[[bytes], list[bytes]], t
         while end < len(texts) and (end == start or n + len(hashes[end]) <= LANES):
             n += len(hashes[end])
             end += 1
-        for k in range(tables):
-            out[start:end, k] = _majority([_mixed(h, k) for h in hashes[start:end]])
+        out[start:end] = _majority(hashes[start:end], tables)
         start = end
     return out
 
@@ -88,25 +87,52 @@ def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _majority(hashes: list[np.ndarray]) -> np.ndarray:
+def _majority(hashes: list[np.ndarray], tables: int) -> np.ndarray:
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    full = np.flatnonzero(sizes)
-    out = np.zeros(len(hashes), np.uint64)
-    if not len(full):
-        return out
-    flat = np.concatenate(hashes)
-    counts = np.zeros((len(full), 64), np.int64)
-    if len(full) == 1:
-        for k in range(0, len(flat), LANES):
-            counts[0] += _bits(flat[k : k + LANES]).sum(axis=0, dtype=np.int64)
-    else:
-        counts += np.add.reduceat(_bits(flat), (np.cumsum(sizes) - sizes)[full], axis=0, dtype=np.int32)
-    out[full] = np.packbits(2 * counts > sizes[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    out = np.zeros((len(hashes), tables), np.uint64)
+    classes = np.frexp(sizes)[1]
+    for c in np.unique(classes[sizes > 0]).tolist():  # texts of about one length are counted side by side
+        own = np.flatnonzero(classes == c)
+        flat = np.concatenate([hashes[i] for i in own.tolist()])
+        inside = np.arange(int(sizes[own].max())) < sizes[own, None]
+        laid = np.zeros(inside.shape, np.uint64)
+        for k in range(tables):
+            laid[inside] = _mixed(flat, k)
+            out[own, k] = _exceeding(_planes(np.ascontiguousarray(laid.T)), sizes[own] // 2)
     return out
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _planes(rows: np.ndarray) -> list[np.ndarray]:
+    """How often each bit is set down the first axis, as binary numbers: the k-th array has their k-th digits."""
+    planes = []
+    while len(rows):
+        carried = []
+        while len(rows) > 1:
+            n = max(1, len(rows) // 3)
+            a, b = rows[:n], rows[n : 2 * n]
+            either = a ^ b
+            if len(rows) == 2:
+                carried.append(a & b)
+                rows = either
+            else:  # a full adder: three digits to one, and one of the next place
+                c = rows[2 * n : 3 * n]
+                carried.append((a & b) | (c & either))
+                rows = np.concatenate([either ^ c, rows[3 * n :]])
+        planes.append(rows[0])
+        rows = np.concatenate(carried) if carried else rows[:0]
+    return planes
+
+
+def _exceeding(planes: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """The bits whose counts are over ``least``."""
+    over, equal = np.zeros(len(least), np.uint64), np.full(len(least), ~np.uint64(0))
+    digits = max(len(planes), int(least.max()).bit_length())
+    for k in range(digits - 1, -1, -1):
+        own = planes[k] if k < len(planes) else np.zeros(len(least), np.uint64)
+        other = np.where(least >> k & 1, ~np.uint64(0), np.uint64(0))
+        over |= equal & own & ~other
+        equal &= ~(own ^ other)
+    return over
 
 
 class BKTree:
@@ -196,14 +222,13 @@ def level_masks(level: int, radius: int) -> list[int]:
     return _ranges(bits, radius + 1)
 
 
-def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known: list[DataFrame] | None = None, apart: DataFrame | None = None) -> DataFrame:
+def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known: list[DataFrame] | None = None, apart: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` (t, fp and further columns) with the shards (t, mask, bits) that each is in; ``n`` is
     the number of rows of a table ``t``.  ``known`` takes the keys of the large shards of each level;
     given again with the same fingerprints, it saves counting them anew.
 
-    Further bits don't split what shares one fingerprint.  Where ``apart`` (node, keys: an array of longs) is given, a
-    shard of more than a quarter of ``limit`` such nodes is dealt out by the keys: a node is in a shard of each of its
-    keys."""
+    Further bits don't split what shares one fingerprint.  Where ``apart`` is given, it takes the rows of shards of more
+    than a quarter of ``limit`` rows of one fingerprint instead, and the caller compares those."""
     known = [] if known is None else known
     masks, keys = shard_masks(radius, n, size), ["t", "mask", "bits"]
     wholes = F.create_map(*(F.lit(_signed(x)) for pair in masks.items() for x in pair))
@@ -216,9 +241,7 @@ def in_shards(rows: DataFrame, n: int, radius: int, size: int, limit: int, known
             known.append(stored(sizes.where(F.col("n") > F.when(F.col("one"), limit // 4).otherwise(limit)).select(*keys, "one"), "large"))
         large = known[level].where("NOT one").drop("one")
         if apart is not None and not (same := known[level].where("one").drop("one")).isEmpty():
-            own = dealt.join(same, keys, "left_semi").join(apart, "node")
-            spread = own.select("t", *columns, "mask", F.posexplode("keys").alias("place", "key")).withColumn("bits", F.xxhash64("fp", "place", "key"))
-            found.append(stored(spread.select(*keys, *columns), "spread"))
+            apart.append(stored(dealt.join(same, keys, "left_semi").select("t", *columns), "apart"))
             dealt = dealt.join(same, keys, "left_anti")
         if level == LEVELS or large.isEmpty():
             found.append(dealt)

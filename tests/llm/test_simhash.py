@@ -7,8 +7,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeframe.llm.near_duplicates import drop_near_duplicates
+from lodeframe.llm.near_duplicates import drop_near_duplicates, shingle_set
 from lodeframe.llm.simhash import BKTree, components, distinct_words, fingerprints, forest, level_masks, links, shard_masks, shingles, simhash_components
+from lodeframe.operators.minhash import band_keys, hash_functions, signature
 
 
 def brute_print(text):
@@ -211,3 +212,33 @@ def test_groups_of_copies_that_are_alike_only_through_others(spark):
     for dense in (0, 8, 10**6):
         got = sorted(r.doc_id for r in drop_near_duplicates(docs, radius=24, tables=2, size=10**6, dense=dense).collect())
         assert got == sorted(groups.values())
+
+
+def test_a_link_does_not_depend_on_how_many_texts_there_are(spark):
+    """Near texts of the same words that share no MinHash band, alone and among many other orders of the words."""
+    random.seed(8)
+    words = [f"w{random.randrange(10**6)}" for _ in range(60)]
+    functions, pairs = hash_functions(48), []
+    while len(pairs) < 2:
+        random.shuffle(words)
+        k = random.randrange(20, 40)
+        near = [*words[:k], words[k + 1], words[k], *words[k + 2 :]]
+        x, y = (band_keys(signature(shingle_set(" ".join(w).encode(), 5), functions), 4) for w in (words, near))
+        if not any(a == b for a, b in zip(x, y, strict=True)):
+            pairs.append((" ".join(words), " ".join(near)))
+    rows = [(10 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)]
+    assert all(jaccard(*pair) >= 0.8 for pair in pairs)
+    for k in range(40):
+        random.shuffle(words)
+        rows.append((100 + k, " ".join(words)))
+    for n in (4, len(rows)):
+        got = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows[:n], "doc_id long, text string"), limit=40).collect())
+        assert got == [0, 10, *range(100, 96 + n)]
+
+
+def test_majorities_of_any_number_of_features():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 63, 64, 65, 1000):
+        words = [str(x).encode() for x in rng.integers(0, 1 << 60, n)]
+        hashes = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        assert fingerprints([b"", b" ".join(words)], bytes.split).tolist() == [[0], [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)]]
