@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.storage import stored
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = True, width: float | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of the same key that is earlier (or
@@ -59,12 +61,19 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return binned.join(spread, "__bin").where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
-def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """An inner join for a skewed ``key`` of ``large``: its rows are dealt to ``salts`` parts per
-    key and ``small`` is repeated for each part."""
-    dealt = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16, share: float = 0.001) -> DataFrame:
+    """An inner join for a skewed ``key`` of ``large``: rows of keys that more than ``share`` of its rows have
+    (at most 1 / share keys) are dealt to ``salts`` parts, and their rows of ``small`` are repeated for each part.
+
+    Both sides are shuffled and sorted, as the planner takes the repeated side for as small as ``small`` and would
+    broadcast it through the driver."""
+    counts = stored(large.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")), "counts")
+    total = F.broadcast(counts.agg(F.sum("__n").alias("__total")))
+    hot = stored(counts.crossJoin(total).where(F.col("__n") > share * F.col("__total")).select(key, F.lit(True).alias("__hot")), "hot")
+    dealt = large.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    parts = F.sequence(F.lit(0), F.when(F.col("__hot"), salts - 1).otherwise(0))
+    repeated = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
+    return dealt.join(repeated.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], tolerance: int, direction: str = "nearest") -> DataFrame:

@@ -84,3 +84,12 @@ def test_entry_works(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_salted_join_repeats_hot_keys_only_and_broadcasts_no_repeated_side(spark):
+    large = spark.range(6000).selectExpr("IF(id < 3000, 7, id) AS k", "id AS x")
+    small = spark.range(4000).selectExpr("id AS k", "id * 2 AS y")
+    got = salted_join(large, small, "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k#" in plan and "__salt" in plan.split("SortMergeJoin")[1].split("\n")[0]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, large.join(small, "k").collect()))
