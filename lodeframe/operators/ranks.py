@@ -37,7 +37,8 @@ def quantiles(df: DataFrame, by: list[str], measures: dict[str, tuple[str, float
         v, off = F.col(column).cast("double"), MARGIN / ACCURACY
         ends = [max(0.0, p - off), min(1.0, p + off)]
         asked += [F.percentile_approx(v, ends, ACCURACY).alias(f"__ends{k}"), F.min(v).alias(f"__low{k}"), F.max(v).alias(f"__high{k}"), F.count(v).alias(f"__n{k}")]
-    brackets = df.groupBy(*by).agg(*asked)
+    # stored, as a join on an aggregate of few groups would deal each group's rows to one task, and sort them there
+    brackets = stored(df.groupBy(*by).agg(*asked), "brackets")
 
     def bracket(k: int, column: str, p: float) -> Column:
         # beyond the first and the last looked-up rank the ends are the group's own

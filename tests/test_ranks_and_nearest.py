@@ -1,5 +1,6 @@
 """Quantiles, range counts and nearest vectors on nulls, outliers and many rows."""
 
+import re
 import random
 
 import numpy as np
@@ -80,3 +81,19 @@ def test_many_queries_hold_little(spark):
     for _ in range(5):
         best_of(cosines, np.broadcast_to(np.arange(2048), cosines.shape), 10)
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+
+
+def test_quantiles_of_few_groups_are_not_dealt_by_group(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        df = spark.range(100_000).selectExpr("id % 3 AS k", "cast(id * 7919 % 100003 AS double) AS v")
+        got = quantiles(df, ["k"], {"m": ("v", 0.5, False)})
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r["k"]: r["m"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the rows themselves meet the brackets where they are
+    assert not re.search(r"hashpartitioning\(coalesce\(k#\w+, 0\), isnull\(k#\w+\), 4\)", plan)
+    values = {k: sorted(float(i * 7919 % 100003) for i in range(k, 100_000, 3)) for k in range(3)}
+    assert found == {k: v[(len(v) + 1) // 2 - 1] for k, v in values.items()}
