@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from lodeframe.storage import shared_path
 
 OPTIONS = {"csv": {"header": "true"}, "xml": {"rowTag": "row"}}
+#: XML files aren't split, so a task reads a whole one: each takes so many rows.
+WRITE_OPTIONS = {"xml": {"maxRecordsPerFile": "50000"}}
 
 
 def write(df: DataFrame, fmt: str, path: str, mode: str = "errorifexists") -> None:
-    df.write.format(fmt).options(**OPTIONS.get(fmt, {})).mode(mode).save(path)
+    df.write.format(fmt).options(**OPTIONS.get(fmt, {}), **WRITE_OPTIONS.get(fmt, {})).mode(mode).save(path)
 
 
 def read(spark, fmt: str, path: str, schema) -> DataFrame:

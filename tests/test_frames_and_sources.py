@@ -103,3 +103,10 @@ def test_the_table_function_checks_its_arguments(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1, 2), ("a", 20, 1), ("b", 2, 1), (None, 3, 1)], key=str)
     with pytest.raises(AnalysisException, match="no column"):
         spark.sql("SELECT * FROM lf_sessions(TABLE(lf_t), 'nobody', 'at', 4)").collect()
+
+
+def test_xml_files_are_bounded(spark):
+    from lodeframe.sources.formats import round_trip
+
+    got = round_trip(spark.range(120_000).coalesce(1), "xml")
+    assert len(got.inputFiles()) == 3 and got.count() == 120_000
