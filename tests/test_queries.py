@@ -72,3 +72,17 @@ def test_statistics_order_joins(spark):
 def test_a_filter_of_the_other_side_prunes_partitions(spark):
     plan = registry.queries()["join_prunes_partitions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
+
+
+def test_lateral_limit_over_many_files(spark, tmp_path):
+    from lodeframe.plans.filters import subquery_lateral
+
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "concat('n', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = [(i, float(i * 7919 % 1009)) for i in range(5000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").repartition(8).write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(f"n{k}", i) for k in range(25) for i, _ in sorted((r for r in rows if r[0] % 25 == k), key=lambda r: (-r[1], r[0]))[:2]]
+    got = subquery_lateral(spark, str(tmp_path))
+    # rows may come in the order wanted by chance, so the ranks' order is looked up, too
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in line]
+    assert windows and all("o_totalprice" in line.split("row_number() windowspecdefinition")[-1] for line in windows)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
