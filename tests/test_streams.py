@@ -1,5 +1,6 @@
 """What the engine reports of streams, and what is left after a restart."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodeframe.plans import streams
@@ -44,3 +45,11 @@ def test_the_state_store_setting_is_put_back(spark):
     before = spark.conf.get(PROVIDER, None)
     assert streams.stream_typed_state(spark, SF).count() == 5
     assert spark.conf.get(PROVIDER, None) == before
+
+
+def test_merged_sessions_of_many_keys():
+    from lodeframe.streaming.stateful import merged_sessions
+
+    held = np.array([[2, 5, 5, 1], [1, 0, 9, 1], [1, 1, 1, 1], [2, 20, 20, 1], [1, 11, 12, 2], [2, 15, 15, 1], [1, 23, 23, 1]]).T
+    assert merged_sessions(held, 10).T.tolist() == [[1, 0, 12, 4], [1, 23, 23, 1], [2, 5, 20, 3]]
+    assert merged_sessions(held[:, :0], 10).shape == (4, 0)
