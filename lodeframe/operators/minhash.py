@@ -29,6 +29,8 @@ from lodeframe.storage import sieved, stored
 
 #: Nodes of a block, and shingles that are hashed at once.
 BLOCK, LANES = 256, 4096
+#: Pairs whose sets are compared at once.
+PAIRS = 64
 #: Signatures that agree in a smaller share of their rows than the threshold less this aren't compared
 #: exactly: at 128 rows and a similarity of 0.8, 5.6 standard deviations.
 SLACK = 0.2
@@ -101,8 +103,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+            # some pairs at a time, so that the sets of long texts aren't all copied at once
+            for k in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(k, PAIRS)
+                fits = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     used = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
     sets = _sets(used, texts, width)
