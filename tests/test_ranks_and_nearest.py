@@ -1,7 +1,7 @@
 """Quantiles, range counts and nearest vectors on nulls, outliers and many rows."""
 
-import re
 import random
+import re
 
 import numpy as np
 import pytest
