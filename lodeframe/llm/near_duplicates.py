@@ -39,23 +39,41 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.simhash import LANES, SEED, BKTree, distinct_words, fingerprints, in_shards, in_turn, shingles
+from lodeframe.llm.simhash import LANES, SEED, BKTree, in_shards, in_turn, majorities, word_hashes
 from lodeframe.llm.texts import as_bytes, sliced
 from lodeframe.operators.components import components
 from lodeframe.storage import sieved, stored
 
 #: Nodes, and shingles in their sets, of a part of a block.
 PART_NODES, PART_SHINGLES = 1024, 1_000_000
+#: Shards of so many nodes at most are looked through side by side.
+SMALL = 128
 #: A shard with more open pairs than so many a node is compared in blocks.
 DENSE = 1
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles."""
-    own = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, width), repeat(SEED)), np.uint64))
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
     return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles (fewer words: of all of them), each a sum of its words' hashes times
+    powers of an odd number by their places."""
+    n = len(words) - width + 1
+    if n < 1:
+        width, n = len(words), min(1, len(words))
+    own = np.zeros(n, np.uint64)
+    for k in range(width):
+        own += words[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    return _distinct(own)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    return shingle_hashes(word_hashes([text])[0], width)
+
+
 def _digest_of(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
@@ -125,36 +143,63 @@ class Shard:
                     yield [node for node, _ in x], [node for node, _ in y] if j < i else []
 
 
-def near_any(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the sorted fingerprints have another (or their own once more) within the radius."""
-    new = np.append(True, fps[1:] != fps[:-1])
-    own, counts = fps[new], np.diff(np.append(np.flatnonzero(new), len(fps)))
+def _open_in_large(fps: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows have a fingerprint that is within the radius of one (or has itself rows) of another root."""
+    own, at = np.unique(fps, return_inverse=True)
+    low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+    np.minimum.at(low, at, roots)
+    np.maximum.at(high, at, roots)
     step = max(1, LANES // len(own))
-    near = [(np.bitwise_count(own[k : k + step, None] ^ own) <= radius).sum(axis=1) > 1 for k in range(0, len(own), step)]
-    return np.repeat(np.concatenate(near) | (counts > 1), counts)
+    found = np.zeros(len(own), bool)
+    for k in range(0, len(own), step):
+        part = slice(k, k + step)
+        others = (low[part, None] < high) | (low < high[part, None])
+        found[part] = ((np.bitwise_count(own[part, None] ^ own) <= radius) & others).any(axis=1)
+    return found[at]
+
+
+def open_rows(starts: np.ndarray, fps: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of shards, which begin at ``starts``, have another of their shard within the radius and of another root (in
+    large shards, some of their fingerprint have)."""
+    sizes = np.diff(np.append(starts, len(fps)))
+    found, ends = np.zeros(len(fps), bool), np.repeat(starts + sizes, sizes)
+    at = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for lag in range(1, SMALL):
+        at = at[at + lag < ends[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= radius]
+        near = near[roots[near] != roots[near + lag]]
+        found[near] = found[near + lag] = True
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = slice(start, start + size)
+        found[own] = _open_in_large(fps[own], roots[own], radius)
+    return found
 
 
 def each_shard(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[tuple[int, int, int], Shard]]:
-    """The shards, from rows that come shard by shard and in them by fingerprint, of those nodes that have another
-    within the radius."""
+    """The shards, from rows that come shard by shard, of those nodes that have another of another root within the
+    radius."""
     names = ("t", "mask", "bits", "fp", "node", "size", "root")
 
-    def shards_of(rows: np.ndarray, starts: list[int]) -> Iterator[tuple[tuple[int, int, int], Shard]]:
-        for start, end in zip(starts, [*starts[1:], rows.shape[1]], strict=True):
-            if end - start > 1 and (near := near_any(np.sort(rows[3, start:end].view(np.uint64)), radius)).any():
-                own = rows[3:, start:end]
-                own = own[:, np.argsort(own[0].view(np.uint64), kind="stable")][:, near]
-                yield tuple(rows[:3, start].tolist()), Shard([(fp & 0xFFFFFFFFFFFFFFFF, *x) for fp, *x in own.T.tolist()], radius)
+    def shards_of(rows: np.ndarray) -> Iterator[tuple[tuple[int, int, int], Shard]]:
+        rows = rows[:, open_rows(_starts(rows), rows[3].view(np.uint64), rows[6], radius)]
+        starts = _starts(rows).tolist()
+        for start, end in zip(starts, [*starts, rows.shape[1]][1:], strict=True):
+            yield tuple(rows[:3, start].tolist()), Shard([(fp & 0xFFFFFFFFFFFFFFFF, *x) for fp, *x in rows[3:, start:end].T.tolist()], radius)
 
     held = np.zeros((len(names), 0), np.int64)
     for batch in batches:
         held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
-        starts = [0, *(np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1).tolist()]
-        if len(starts) > 1:  # the last shard may go on
-            yield from shards_of(held[:, : starts[-1]], starts[:-1])
+        if len(starts := _starts(held)) > 1:  # the last shard may go on
+            yield from shards_of(held[:, : starts[-1]])
             held = held[:, starts[-1] :].copy()
-    if held.shape[1]:
-        yield from shards_of(held, [0])
+    yield from shards_of(held)
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Where shards begin."""
+    return np.flatnonzero(np.append(rows.shape[1] > 0, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
 
 
 def _batches(rows: Iterator[tuple], names: list[str], n: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -167,7 +212,7 @@ def _sets(used: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, limit=1 << 20):
-            sets = [np.unique(shingle_set(x, width).astype(np.uint32)).tobytes() for x in as_bytes(batch.column("text"))]
+            sets = [_distinct(shingle_hashes(x, width).astype(np.uint32)).tobytes() for x in word_hashes(as_bytes(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "own"])
 
     near = sieved(texts.select(F.col("row").alias("node"), "text"), used, "node")[1]
@@ -323,8 +368,9 @@ def drop_near_duplicates(docs: DataFrame, tables: int = 8, radius: int = 3, size
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = as_bytes(batch.column("text"))
-            prints = fingerprints(texts, distinct_words, tables).view(np.int64)
-            sets = [shingle_set(x, width) for x in texts]
+            own = word_hashes(texts)
+            prints = majorities(list(map(_distinct, own)), tables).view(np.int64)
+            sets = [shingle_hashes(x, width) for x in own]
             columns = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "fps": pa.array(prints.tolist(), pa.list_(pa.int64())), "size": pa.array(list(map(len, sets)), pa.int64()), "digest": pa.array(list(map(_digest_of, sets)), pa.binary()), "text_hash": pa.array([xxhash.xxh64_intdigest(x, SEED) >> 1 for x in texts], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeframe.llm.near_duplicates import drop_near_duplicates, shingle_set
-from lodeframe.llm.simhash import BKTree, components, distinct_words, fingerprints, forest, level_masks, links, shard_masks, shingles, simhash_components
+from lodeframe.llm.near_duplicates import drop_near_duplicates, each_shard, shingle_set
+from lodeframe.llm.simhash import BKTree, components, distinct_words, fingerprints, forest, level_masks, links, shard_masks, shingles, simhash_components, word_hashes
 from lodeframe.operators.minhash import band_keys, hash_functions, signature
 
 
@@ -242,3 +243,39 @@ def test_majorities_of_any_number_of_features():
         words = [str(x).encode() for x in rng.integers(0, 1 << 60, n)]
         hashes = [xxhash.xxh64_intdigest(w, 42) for w in words]
         assert fingerprints([b"", b" ".join(words)], bytes.split).tolist() == [[0], [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)]]
+
+
+def test_word_hashes():
+    rng = random.Random(4)
+    texts = [b"", b" ", b"a", b" A b ", bytes(range(256)), b"\x1c\x1d x\x85y\xa0z\x00", b" ".join(b"x" * n for n in range(1, 70))]
+    texts += [bytes(rng.choice(b"aB\xc3 \t\n\x0b") for _ in range(rng.randrange(60))) for _ in range(100)]
+    assert [x.tolist() for x in word_hashes(texts)] == [[xxhash.xxh64_intdigest(w, 42) for w in t.lower().split()] for t in texts]
+    assert word_hashes([]) == [] and [x.tolist() for x in word_hashes([b""])] == [[]]
+
+
+def test_shingle_sets_follow_the_shingles():
+    rng = random.Random(6)
+    texts = [b" ".join(rng.choices([b"a", b"B", b"b", b"c"], k=n)) for n in range(12) for _ in range(20)]
+    digests = [shingle_set(t, 5).tolist() for t in texts]
+    assert all(x == sorted(set(x)) and len(x) == len(set(shingles(t, 5))) for t, x in zip(texts, digests, strict=True))
+    for t, x in zip(texts, digests, strict=True):
+        assert [set(shingles(t, 5)) == set(shingles(u, 5)) for u in texts] == [x == y for y in digests]
+
+
+def test_shards_hold_only_what_is_still_open():
+    """Nodes near others of their own component only are left out; the pairs still open are all there, in small and large shards."""
+    rng = random.Random(7)
+    for n, roots in ((20, 1), (20, 3), (100, 4), (300, 1), (300, 5)):
+        rows = []
+        for bits in range(4):
+            centre = rng.getrandbits(64)
+            for k in range(n):
+                fp = centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 1, 2, 9))))
+                rows.append((0, 1, bits, fp - (1 << 64) if fp >> 63 else fp, 1000 * bits + k, 1, rng.randrange(roots)))
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+        whole = pa.RecordBatch.from_arrays(columns, ["t", "mask", "bits", "fp", "node", "size", "root"])
+        got = [(key, set(shard.pairs(0.8))) for key, shard in each_shard((whole.slice(k, 37) for k in range(0, len(rows), 37)), 3)]
+        by = {bits: [r for r in rows if r[2] == bits] for bits in range(4)}
+        wanted = {bits: {(y[4], x[4]) for i, y in enumerate(own) for x in own[:i] if y[6] != x[6] and ((y[3] ^ x[3]) & (1 << 64) - 1).bit_count() <= 3} for bits, own in by.items()}
+        assert {key[2]: pairs for key, pairs in got} == {bits: pairs for bits, pairs in wanted.items() if pairs}
+        assert (roots == 1) == (not got)
